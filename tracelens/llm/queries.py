@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tracelens.llm import decontam, media, mixing, tokens
+from tracelens.llm import decontam, langid, media, mixing, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_media_ts": media.op4_media_ts,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_language_id": langid.op7_language_id,
     "op9_mixing": mixing.op9_mixing,
 }
 
