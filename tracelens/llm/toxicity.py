@@ -36,8 +36,9 @@ LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 160, 64, 64
 #: Words whose scores a task keeps.
 KEEP_WORDS = 300_000
 
-# Fixed alphabet: 0 is any other sign, 1-26 letters by their base form, 27-36 digits.
-SIGNS = 37
+# Fixed alphabet: 0 is any other sign, 1-26 letters by their base form, 27-36 digits, 37 the start of a word.
+SIGNS, START = 38, 37
+_OUTER = re.compile(r"[^\w\s]*\s[^\w]*")
 _INNER = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){2,}\w(?!\w)")
 
@@ -53,6 +54,7 @@ def _class_table() -> np.ndarray:
         elif "0" <= base <= "9":
             t[k] = ord(base) - 21
     t[ord("ß")] = ord("s") - 96
+    t[ord("^")] = START
     return t
 
 
@@ -61,16 +63,17 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    out = low.split()
-    out += [_INNER.sub("", x) for x in out if _INNER.search(x)]
+    out = _OUTER.sub(" ", f" {low} ").split()
+    out += [_INNER.sub("", x) for x in out if not x.isalnum() and _INNER.search(x)]
     out += [re.sub(r"[ .\-_*]", "", x) for x in _SPACED.findall(low)]
     return out
 
 
 def _pieces(words: list[str]) -> tuple[list[str], list[int]]:
-    """Words of more than PIECE characters are cut into overlapping pieces, so that whole words are seen at one cost."""
+    """Words with a mark at their start; those of more than PIECE characters are cut into overlapping pieces."""
     parts, owner = [], []
     for k, w in enumerate(words):
+        w = "^" + w.replace("^", "*")
         if len(w) <= PIECE:
             parts.append(w)
             owner.append(k)
@@ -125,6 +128,7 @@ class Kernel:
     def dense(self, words: list[str]) -> np.ndarray:
         """Normed feature rows; only for landmarks."""
         out = np.zeros((len(words), SIGNS**3), np.float32)
+        words = _pieces(words)[0]
         for idx, codes in self.by_length(words):
             if codes.shape[1] < 3:
                 continue
@@ -137,6 +141,7 @@ class Kernel:
     def against(self, words: list[str], dense: np.ndarray) -> np.ndarray:
         """Normed kernel values (words, landmarks)."""
         out = np.zeros((len(words), len(dense)), np.float32)
+        words = _pieces(words)[0]
         t = np.ascontiguousarray(dense.T)
         for idx, codes in self.by_length(words):
             if codes.shape[1] < 3:
@@ -194,7 +199,7 @@ def _cover(bad: list[list[str]], in_bad: Counter, in_good: Counter) -> list[str]
     """
     open_, chosen, least = [set(b) for b in bad], [], LEAST if len(bad) >= 20 * LEAST else 1
     while open_:
-        c = Counter(w for b in open_ for w in b if 3 <= len(w) <= PIECE and 50 * in_good[w] <= in_bad[w])
+        c = Counter(w for b in open_ for w in b if 3 <= len(w) < PIECE and 50 * in_good[w] <= in_bad[w])
         if not c:
             break
         best = min(c, key=lambda w: (-c[w], -in_bad[w], w))
@@ -208,10 +213,10 @@ def _cover(bad: list[list[str]], in_bad: Counter, in_good: Counter) -> list[str]
 def inserted(word: str) -> list[str]:
     """The word with one sign put in between two letters, or with one letter doubled."""
     out = [word[:i] + x + word[i:] for i in range(1, len(word)) for x in ("*", word[i])]
-    return [x for x in out if 4 < len(x) <= PIECE]
+    return [x for x in out if 4 < len(x) < PIECE]
 
 
-def train(rows: list[tuple[str | None, int]], rounds: int = 2) -> Model:
+def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
     """From (text, label) pairs, in any order: the result depends on the set of pairs alone."""
     bags = [(sorted(set(words_of(t))), int(y)) for t, y in sorted({(t or "", int(y)) for t, y in rows})]
     bad, good = [b for b, y in bags if y and b], [b for b, y in bags if not y]
@@ -224,9 +229,9 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 2) -> Model:
     # frequent words first; words that only one bag has are mostly chance
     witness = [w for w in witness if in_bad[w] >= 2] or witness
     # words that many bad bags have next to none of the good ones stand for them too, covered or not
-    witness += sorted(w for w, n in in_bad.items() if n >= 5 and 20 * n >= len(bad) and 50 * in_good[w] <= n and 3 <= len(w) <= PIECE and w not in set(witness))
+    witness += sorted(w for w, n in in_bad.items() if n >= 5 and 20 * n >= len(bad) and 50 * in_good[w] <= n and 3 <= len(w) < PIECE and w not in set(witness))
     kernel = Kernel()
-    clean = sorted((w for w in in_good if 3 <= len(w) <= PIECE and w not in set(witness)), key=lambda w: (-in_good[w], w))
+    clean = sorted((w for w in in_good if 3 <= len(w) < PIECE and w not in set(witness)), key=lambda w: (-in_good[w], w))
     marks = witness[:LANDMARKS] + clean[:CLEAN_LANDMARKS]
     negatives = list(dict.fromkeys(clean[:2000] + clean[:: max(1, len(clean) // 6000)]))
     gapped = [v for w in witness[:LANDMARKS] for v in inserted(w) if not in_good[v]]
@@ -242,9 +247,17 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 2) -> Model:
         z = dict(zip(words, model.decide(kernel, words).tolist(), strict=True))
         if k == rounds:
             break
+        # open bags are stood for by their worst word, if the machine is close to taking it for one
+        stood = set(witness)
+        for b in bad:
+            if stood.isdisjoint(b):
+                x = max((x for x in b if 3 <= len(x) < PIECE and not in_good[x]), key=lambda x: (z[x], x), default=None)
+                if x is not None and z[x] > -0.6:
+                    witness.append(x)
+        witness = list(dict.fromkeys(witness))
         # good words nearest to the bad side are learned as good, and the first of them become landmarks
         have = set(negatives)
-        wrong = sorted((x for x in in_good if z[x] > -0.5 and 3 <= len(x) <= PIECE and x not in have and 50 * in_good[x] > in_bad[x]), key=lambda x: (-z[x], x))[:3000]
+        wrong = sorted((x for x in in_good if z[x] > -0.5 and 3 <= len(x) < PIECE and x not in have and 50 * in_good[x] > in_bad[x]), key=lambda x: (-z[x], x))[:3000]
         negatives += wrong
         marks += [x for x in wrong if x not in set(marks)][:HARD_LANDMARKS]
     zb = [np.array([max((z[x] for x in b), default=bias) for b in side]) for side in (good, bad)]
