@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracelens.llm import decontam, langid, media, mixing, tokens, toxicity
+from tracelens.llm import decontam, jaccard, langid, media, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_media_ts": media.op4_media_ts,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_language_id": langid.op7_language_id,
     "op9_mixing": mixing.op9_mixing,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLE = {
     "op3_decontamination": decontam.SQL,
+    "op5_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
 }
