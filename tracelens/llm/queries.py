@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracelens.llm import decontam, jaccard, langid, media, mixing, tokens, toxicity
+from tracelens.llm import decontam, jaccard, langid, media, mixing, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_media_ts": media.op4_media_ts,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_decontamination": decontam.SQL,
     "op5_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
