@@ -56,3 +56,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
 def crc32_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
+
+
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows whose text passes; ``make()`` gives a task's function from texts to whether each stays."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(f(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -11,13 +11,13 @@ benchmark leaves every document clean; repeated rows each get their own result;
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import map_batches, table
+from tracelens.llm.common import filter_texts, map_batches, table
 
 WINDOW = 13
 #: The benchmark goes to the tasks in blocks of at most this many bytes of text; each block is one pass.
@@ -151,8 +151,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
         return make
 
-    import itertools
-
     parts = None
     for block in itertools.chain([first, second], blocks):
         one = map_batches(keyed, marker(block), "doc_id long, row long, n_words long, pos array<int>, item_ids array<string>", binary=("text",))
@@ -161,6 +159,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return united.select("doc_id", "n_words", "n_hit", "item_ids")
 
 
+def contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        bad = decontaminate(docs, benchmark, window).where(is_contaminated()).select(F.col("doc_id").alias("dc_doc")).distinct()
+        return docs.join(bad, docs["doc_id"] == bad["dc_doc"], "left_anti")
+
+    def make():
+        searchers = compile_windows(first, window)
+
+        def f(texts):
+            out = []
+            for t in texts:
+                words = words_of(t.encode()) if t else []
+                out.append(not contaminated(sum(scan(words, searchers)[0]), len(words)))
+            return out
+
+        return f
+
+    return filter_texts(docs, "text", make)
+
+
 def is_contaminated(n_hit="n_hit", n_words="n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 

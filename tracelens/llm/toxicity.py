@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import crc32_mod, map_batches, table
+from tracelens.llm.common import crc32_mod, filter_texts, map_batches, table
 
 DECAY, PIECE, STEP = 0.7, 16, 8
 THRESHOLD = 0.7
@@ -314,6 +314,16 @@ def _scorer(model: Model):
     return make
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+
+    def make():
+        f = _scorer(model)()
+        return lambda texts: [s < threshold for s in f({"doc_id": texts, "text": texts})["score"]]
+
+    return filter_texts(docs, "text", make)
+
+
 def held_out(doc_id: Column) -> Column:
     return crc32_mod(doc_id, 3) == 1
 
