@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelens.llm import decontam, jaccard, langid, media, mixing, suffix_dedup, tokens, toxicity
+from tracelens.llm import chat, decontam, jaccard, langid, media, mixing, suffix_dedup, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_language_id": langid.op7_language_id,
+    "op8_warc_derivatives": warc.op8_warc_derivatives,
     "op9_mixing": mixing.op9_mixing,
+    "op10_chat_roles": chat.op10_chat_roles,
 }
 
 ORACLE = {
