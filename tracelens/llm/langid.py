@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from tracelens.llm.common import crc32_mod, map_batches, small_batches, table
 
 PROFILE = 300
 #: Distinct words (training) and words with known n-grams (prediction) that a task keeps before it starts afresh.
-KEEP_WORDS = 150_000
+KEEP_WORDS = 250_000
 SALTS = 16
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,23 +90,35 @@ class Ranker:
         for k, one in enumerate(self.langs):
             for r, g in enumerate(profiles[one]):
                 self.ranks[self.row[g], k] = r
-        self.known: dict[str, tuple[str, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+        self.number: dict[str, int] = {}
+        self.gram: list[str] = []
 
     def order(self, words: list[str]) -> list[str]:
-        known = self.known
-        if len(known) > KEEP_WORDS:
-            known.clear()
+        """The text's most frequent n-grams: counts by number, names only for those that can be among them."""
+        if len(self.known) > KEEP_WORDS:
+            self._forget()
+        known, number, gram = self.known, self.number, self.gram
         for w in set(words).difference(known):
-            known[w] = grams(w)
-        c = Counter(chain.from_iterable(map(known.__getitem__, words)))
-        if len(c) > self.size:
-            least = sorted(c.values())[-self.size]
-            found = [g for g, n in c.items() if n >= least]
-        else:
-            found = list(c)
-        found.sort()
-        found.sort(key=c.__getitem__, reverse=True)
-        return found[: self.size]
+            ids = []
+            for g in grams(w):
+                k = number.get(g)
+                if k is None:
+                    k = number[g] = len(gram)
+                    gram.append(g)
+                ids.append(k)
+            known[w] = np.array(ids, np.int32)
+        c = np.bincount(np.concatenate([known[w] for w in words]))
+        found = np.flatnonzero(c)
+        if len(found) > self.size:
+            n = c[found]
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            found = found[n >= least]
+        pairs = sorted(zip((-c[found]).tolist(), [gram[k] for k in found.tolist()], strict=True))
+        return [g for _, g in pairs[: self.size]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
