@@ -166,6 +166,16 @@ def method_name(family: str, patching_tag: str | None = None, param: str | None
     return "_".join(x for x in (family, param, patching_tag) if x)
 
 
+def settled(rows, **columns: Column):
+    """rows with the columns added as plain values.
+
+    Catalyst merges projections, so an expression that a lambda refers to would be evaluated for every element. A
+    generator is not merged: each expression is evaluated once a row.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_settled")
+    return rows.select("*", packed).select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(f"_settled.{k}").alias(k) for k in columns])
+
+
 SPECIAL = re.compile(r"<\|[^|]+\|>")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelens.functions import numeric as N
 from tracelens.functions import text as T
 from tracelens.functions.numeric import rounded
-from tracelens.operators import batching, corpus, lm, patching, pooling, reporting, summary
+from tracelens.operators import batching, chat_tokens, corpus, lm, patching, pooling, reporting, summary
 from tracelens.plans import flagship
 from tracelens.sources import artifacts, tables
 
@@ -227,7 +227,8 @@ s as (select *, (sum(head + n + 1) over (partition by conv_id order by turn) - n
 @query("assistant_spans", f"with {_SPANS} select conv_id, start_pos, (start_pos + n)::int as end_pos from s where role = 'assistant'")
 def _(spark, sf_dir):
     c = tables.traces(spark, sf_dir)
-    s = c.select("conv_id", F.explode(T.assistant_spans(F.col("messages"), T.render(F.col("messages")))).alias("s"))
+    c = T.settled(c, rendered=T.render(F.col("messages")))
+    s = c.select("conv_id", F.explode(T.assistant_spans(F.col("messages"), F.col("rendered"))).alias("s"))
     return s.select("conv_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
@@ -235,7 +236,8 @@ def _(spark, sf_dir):
 select conv_id, arg_min(p, turn)::int as start_pos, (arg_min(p, turn) + any_value(length(answer)))::int as end_pos from a group by conv_id""")
 def _(spark, sf_dir):
     t = _traced(spark, sf_dir)
-    return t.withColumn("s", T.answer_span(F.col("messages"), T.render(F.col("messages")), F.col("answer"))).select("conv_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+    t = T.settled(t, rendered=T.render(F.col("messages")))
+    return t.withColumn("s", T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer"))).select("conv_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
 @query("token_offsets", r"""with w as (select conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w, text from conversations)
@@ -249,8 +251,8 @@ def _(spark, sf_dir):
 @query("answer_label_mask", f"""with {TR}, w as (select conv_id, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') as w from pa where answer <> '')
 select conv_id, len(w)::int as answer_tokens from w""")
 def _(spark, sf_dir):
-    t = _traced(spark, sf_dir).withColumn("rendered", T.render(F.col("messages")))
-    t = t.withColumn("s", T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer"))).withColumn("o", T.word_offsets(F.col("rendered")))
+    t = T.settled(_traced(spark, sf_dir), rendered=T.render(F.col("messages")))
+    t = T.settled(t, s=T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer")), o=T.word_offsets(F.col("rendered")))
     ids = F.transform("o", lambda x, i: i)
     marked = T.labels(F.col("o"), ids, F.array("s"))
     return t.select("conv_id", F.size(F.filter(marked, lambda x: x != T.IGNORE)).alias("answer_tokens"))
@@ -263,6 +265,34 @@ def _(spark, sf_dir):
     return t.select("conv_id", T.positions(ids, F.lit(T.PLACEHOLDER)).alias("slots"))
 
 
+_WORDS = r"""{TR}, w as (select conv_id, role, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as n from tx),
+n as (select conv_id, sum(n + 1)::int as n_tokens, coalesce(sum(n) filter (role = 'assistant'), 0)::int as n_labels from w group by conv_id)""".replace("{TR}", TR)
+
+
+@query("sft_tokens", f"with {_WORDS} select conv_id, n_tokens, n_labels, n_labels > 0 as trainable from n")
+def _(spark, sf_dir):
+    rows = chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir))
+    return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), F.size(F.filter("labels", lambda x: x != T.IGNORE)).alias("n_labels"), chat_tokens.has_trainable_tokens(F.col("labels")).alias("trainable"))
+
+
+@query("sft_truncated", f"with {_WORDS} select conv_id, least(n_tokens, 64)::int as n_tokens from n")
+def _(spark, sf_dir):
+    return chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir), 64).select("conv_id", F.size("labels").alias("n_tokens"))
+
+
+@query("collated_batches", f"with {_WORDS} select conv_id, max(n_tokens) over (partition by conv_id // 8) as width, n_tokens as mask_sum, (max(n_tokens) over (partition by conv_id // 8) - n_labels)::int as ignored from n")
+def _(spark, sf_dir):
+    rows = chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir)).withColumn("batch", F.floor(F.col("conv_id") / 8))
+    out = chat_tokens.collate(rows, "batch")
+    return out.select("conv_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"), F.size(F.filter("labels", lambda x: x == T.IGNORE)).alias("ignored"))
+
+
+@query("answer_positions", f"""with {_SPANS}, aw as (select pa.conv_id, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') as w from pa where answer <> '')
+select conv_id, len(w)::int as answer_tokens from aw""")
+def _(spark, sf_dir):
+    return chat_tokens.tokenize_answer(_traced(spark, sf_dir)).select("conv_id", F.size("answer_positions").alias("answer_tokens"))
+
+
 # --- language model ---------------------------------------------------------------------------------------------
 _TOK = r"tok as (select doc_id, (generate_subscripts(w, 1) - 1)::int as pos, unnest(w) as token from (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents))"
 _BG = _TOK + ", bg as (select prev, token, count(*) as c from (select token, lag(token) over (partition by doc_id order by pos) as prev from tok) where prev is not null group by all)"

@@ -34,6 +34,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
-    if not shared and not sc.master.startswith("local["):
+    if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelens-ckpt-"))
