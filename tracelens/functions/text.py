@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -176,8 +175,6 @@ def settled(rows, **columns: Column):
     return rows.select("*", packed).select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(f"_settled.{k}").alias(k) for k in columns])
 
 
-SPECIAL = re.compile(r"<\|[^|]+\|>")
-
 
 def char_tokens(text: str, special: list[str]) -> list[tuple[str, int, int]]:
     """Characters, with special tokens matched longest first: the tokenizer of the tests."""
