@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tracelens.llm import chat, decontam, jaccard, langid, media, mixing, suffix_dedup, tokens, toxicity, warc
 from tracelens.llm.suffix_sort import suffix_arrays
 
