@@ -6,11 +6,11 @@ a bit sketch in which every n-gram flips one bit, so that the Hamming distance o
 difference. A sketch is cut into one block more than that bound: by the pigeonhole principle two sets within the bound
 agree in a block, so they meet under a key (band, block, content). Those who meet are compared with a representative of
 their key; links are verified on the sets and grouped into components. Where a key still joins several components,
-their members meet again, without those pairs that are linked already, until no key holds an open pair.
+their members meet again by the rarest blocks of finer sketches, and open pairs are verified too.
 
 Keys travel packed: a task sends the reducers of a key range one row of sorted numbers. A text of thousands of copies is
 one class and a key with many near copies is a run of numbers; no pair of a key's members is written out but those with
-its representatives and those that the sketches leave open between components.
+its representative and those of different components that share a rare block.
 
 Defined cases: null, empty and blank texts have no n-grams, are linked with nothing and stand for themselves; a text of
 fewer words than n has one n-gram of them all; repeated ids are one document if their texts are equal; an empty table
@@ -23,14 +23,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import map_batches, small_batches
 from tracelens.session import ensure_checkpoint_dir
 
 NGRAM, PERCENT = 5, 80
-#: Ratio of the sizes of neighbouring bands, at most the similarity's inverse.
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,8 +86,8 @@ class Bands:
         return max((2 * low) * (100 - self.percent) // (100 + self.percent), (low + min(top, low * 100 // self.percent)) * (100 - self.percent) // (100 + self.percent))
 
 
-def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of a set's sketches: one for each of the bound + 1 blocks of each of its bands.
+def block_keys(s: np.ndarray, bands: Bands, fine: int = 1) -> list[np.ndarray]:
+    """The keys of a set's sketches for each of its bands: one for each of the ``fine`` times (bound + 1) blocks.
 
     A block is kept as the XOR of a hash for each set bit, which stands for its content.
     """
@@ -96,7 +95,7 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     n = len(s)
     with np.errstate(over="ignore"):
         for band in bands.of(n):
-            blocks = bands.bound(band) + 1
+            blocks = fine * (bands.bound(band) + 1)
             width = np.uint64(64 * max(1, bands.edges[band + 2] // blocks))  # bits a block, many more than n-grams
             x = _mix(s ^ np.uint64(band + 1))
             block = (x >> np.uint64(32)) % np.uint64(blocks)
@@ -105,7 +104,7 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
             acc = np.zeros(blocks, np.uint64)
             np.bitwise_xor.at(acc, block.astype(np.int64), sig)
             out.append(_mix(acc + np.arange(1, blocks + 1, dtype=np.uint64) * SEED + np.uint64(band) * np.uint64(0xD6E8FEB86659FD93)))
-    return np.concatenate(out)
+    return out
 
 
 def _digest(s: np.ndarray) -> int:
@@ -175,7 +174,7 @@ def packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
                 if cls in seen:  # a copy within the task adds nothing
                     continue
                 seen.add(cls)
-                k = block_keys(s, bands)
+                k = np.concatenate(block_keys(s, bands))
                 keys.append(k)
                 owners.append(np.full(len(k), cls, np.int64))
                 held += len(k)
@@ -221,6 +220,45 @@ def meetings(packed: DataFrame, tasks: int) -> DataFrame:
     return packed.repartition(tasks, "bucket").mapInArrow(run, "key long, cls long, rep long")
 
 
+#: Blocks of a fine sketch for each block that two similar sets can differ in.
+FINE = 4
+
+
+def rare_meetings(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar; members is (cls, text, comp).
+
+    A fine sketch has FINE times (bound + 1) blocks, of which two similar sets differ in ``bound`` at most. So in any one
+    order of all block contents, the first bound + 1 of either set have one in common. With the rarest first, sets that
+    share only what a whole family of near copies shares do not meet.
+    """
+
+    def make():
+        words: dict[bytes, int] = {}
+        bands = Bands(percent)
+
+        def f(c):
+            if len(words) > 500_000:
+                words.clear()
+            out = {"cls": [], "comp": [], "n": [], "band": [], "need": [], "blocks": []}
+            for cls, comp, t in zip(c["cls"], c["comp"], c["text"], strict=True):
+                s = shingles(t, n, words)
+                for band, keys in zip(bands.of(len(s)), block_keys(s, bands, FINE), strict=True):
+                    for k, v in zip(out, (cls, comp, len(s), band, bands.bound(band) + 1, keys.view(np.int64)), strict=True):
+                        out[k].append(v)
+            return out
+
+        return f
+
+    fine = map_batches(members.select("cls", "comp", "text"), make, "cls long, comp long, n long, band int, need int, blocks array<long>", binary=("text",)).select("cls", "comp", "n", "band", "need", F.explode("blocks").alias("block"))
+    common = fine.groupBy("block").agg(F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    order = Window.partitionBy("cls", "band").orderBy("times", "block")
+    first = fine.join(common, "block").withColumn("r", F.row_number().over(order)).where("r <= need and lo <> hi")
+    x = first.select("block", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
+    y = first.select("block", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
+    near = (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")) & (F.col("a_comp") < F.col("b_comp"))
+    return x.join(y, "block").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough; texts is (cls, text), one text a class."""
     left = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
@@ -280,15 +318,11 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     links = verify(star, texts, n, percent).checkpoint()
     comp = components(links)
 
-    # keys that still hold several components: their members meet across these
-    sizes = reps.select("cls", "n")
+    # classes under keys that still hold several components meet again, across these
     owned = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 2").join(met.select("key", "cls"), "key").join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     spread = owned.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    still = owned.join(spread, "key").join(sizes, "cls").checkpoint()
-    x = still.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    y = still.select("key", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
-    near = (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")) & (F.col("a_comp") < F.col("b_comp"))
-    across = x.join(y, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    still = owned.join(spread, "key").select("cls", "comp").distinct()
+    across = rare_meetings(texts.join(still, "cls"), n, percent)
     more = verify(across.join(star, ["a", "b"], "left_anti"), texts, n, percent).checkpoint()
     if more.limit(1).count():
         comp = components(links.unionByName(more))
