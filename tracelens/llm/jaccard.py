@@ -220,6 +220,17 @@ def meetings(packed: DataFrame, tasks: int) -> DataFrame:
     return packed.repartition(tasks, "bucket").mapInArrow(run, "key long, cls long, rep long")
 
 
+#: Bits of the sketch whose Hamming distance decides before the sets do.
+SKETCH = 1024
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A set's bit sketch as 64-bit words: each n-gram flips one bit."""
+    bits = (_mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(bits, minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 #: Blocks of a fine sketch for each block that two similar sets can differ in.
 FINE = 4
 
@@ -229,7 +240,7 @@ def rare_meetings(members: DataFrame, n: int, percent: int) -> DataFrame:
 
     A fine sketch has FINE times (bound + 1) blocks, of which two similar sets differ in ``bound`` at most. So in any one
     order of all block contents, the first bound + 1 of either set have one in common. With the rarest first, sets that
-    share only what a whole family of near copies shares do not meet.
+    share only what a whole family of near copies shares do not meet. Those that meet are compared by their bit sketches.
     """
 
     def make():
@@ -239,24 +250,30 @@ def rare_meetings(members: DataFrame, n: int, percent: int) -> DataFrame:
         def f(c):
             if len(words) > 500_000:
                 words.clear()
-            out = {"cls": [], "comp": [], "n": [], "band": [], "need": [], "blocks": []}
+            out = {"cls": [], "comp": [], "n": [], "band": [], "need": [], "blocks": [], "sketch": []}
             for cls, comp, t in zip(c["cls"], c["comp"], c["text"], strict=True):
                 s = shingles(t, n, words)
+                sketch = parity(s)
                 for band, keys in zip(bands.of(len(s)), block_keys(s, bands, FINE), strict=True):
-                    for k, v in zip(out, (cls, comp, len(s), band, bands.bound(band) + 1, keys.view(np.int64)), strict=True):
+                    for k, v in zip(out, (cls, comp, len(s), band, bands.bound(band) + 1, keys.view(np.int64), sketch), strict=True):
                         out[k].append(v)
             return out
 
         return f
 
-    fine = map_batches(members.select("cls", "comp", "text"), make, "cls long, comp long, n long, band int, need int, blocks array<long>", binary=("text",)).select("cls", "comp", "n", "band", "need", F.explode("blocks").alias("block"))
+    rows = map_batches(members.select("cls", "comp", "text"), make, "cls long, comp long, n long, band int, need int, blocks array<long>, sketch array<long>", binary=("text",)).checkpoint()
+    fine = rows.select("cls", "comp", "band", "need", F.explode("blocks").alias("block"))
     common = fine.groupBy("block").agg(F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     order = Window.partitionBy("cls", "band").orderBy("times", "block")
-    first = fine.join(common, "block").withColumn("r", F.row_number().over(order)).where("r <= need and lo <> hi")
-    x = first.select("block", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    y = first.select("block", F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
-    near = (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")) & (F.col("a_comp") < F.col("b_comp"))
-    return x.join(y, "block").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = fine.join(common, "block").withColumn("r", F.row_number().over(order)).where("r <= need and lo <> hi").select("cls", "band", "block")
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    met = first.join(rows.select("cls", "band", "comp", "n", *words), ["cls", "band"])
+    x = met.select("block", *[F.col(c).alias(f"a_{c}") for c in met.columns if c != "block"])
+    y = met.select("block", *[F.col(c).alias(f"b_{c}") for c in met.columns if c != "block"])
+    apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH // 64)), F.lit(0))
+    # Hamming distance <= symmetric difference <= (|A| + |B|) (100 - p) / (100 + p)
+    near = (F.col("a_comp") < F.col("b_comp")) & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("a_n") + F.col("b_n")))
+    return x.join(y, "block").where(near).select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
