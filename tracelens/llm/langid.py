@@ -11,8 +11,9 @@ distance by language name; rows without a language are not learned from; without
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,16 @@ from tracelens.llm.common import crc32_mod, map_batches, small_batches, table
 
 PROFILE = 300
 #: Distinct words (training) and words with known n-grams (prediction) that a task keeps before it starts afresh.
-KEEP_WORDS = 250_000
+KEEP_WORDS = 500_000
 SALTS = 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> tuple[str, ...]:
+def grams(word: str) -> list[str]:
     w = f" {word} "
     n = len(w)
-    return (*word, *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2)))
+    return [*word, *[w[i : i + 2] for i in range(n - 1)], *[w[i : i + 3] for i in range(n - 2)]]
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -44,7 +45,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
         def flush():
             for one, counts in sorted(words.items()):
-                c: Counter = Counter()
+                c: dict[str, int] = defaultdict(int)
                 for w, n in counts.items():
                     for g in grams(w):
                         c[g] += n
@@ -102,15 +103,10 @@ class Ranker:
         if len(self.known) > KEEP_WORDS:
             self._forget()
         known, number, gram = self.known, self.number, self.gram
+        new = number.setdefault
         for w in set(words).difference(known):
-            ids = []
-            for g in grams(w):
-                k = number.get(g)
-                if k is None:
-                    k = number[g] = len(gram)
-                    gram.append(g)
-                ids.append(k)
-            known[w] = np.array(ids, np.int32)
+            known[w] = np.array([new(g, len(number)) for g in grams(w)], np.int32)
+        gram += itertools.islice(number, len(gram), None)
         c = np.bincount(np.concatenate([known[w] for w in words]))
         found = np.flatnonzero(c)
         if len(found) > self.size:
