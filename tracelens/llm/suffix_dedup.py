@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,14 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 
 def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of finished phases now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Drop the shuffle files of finished phases now rather than at some later collection.
+
+    Python lets go of the JVM's objects first; what these alone held is found by a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Anchors:
