@@ -16,14 +16,18 @@ repeated are rows of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracelens.llm.common import small_batches, table
+from tracelens.llm.common import schema_of, small_batches, table
 
 ROLES = ("system", "user", "assistant")
 #: Rows of a conversation in a block.
@@ -147,48 +151,64 @@ def render(roles: list[str], lines: list[str]) -> str:
     return "".join(out)
 
 
-def _ordered(p: pd.DataFrame) -> pd.DataFrame:
-    return p.assign(t=p.turn.fillna(-1), x=p.text.fillna("")).sort_values(["t", "x"], kind="stable")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first ``keys`` columns, over batch ends."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+    for key, run in itertools.groupby(rows, key=lambda r: r[:keys]):
+        yield key, list(run)
+
+
+def _write(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def _sorted_map(df: DataFrame, by: list[str], order: list, f, ddl: str) -> DataFrame:
+    """f over each key's rows in order: rows are dealt by the keys and sorted; f holds a run of one key at a time."""
+    schema = schema_of(ddl)
+    arrow = to_arrow_schema(schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda batches: _write(f(batches), arrow), schema)
 
 
 def recover(messages: DataFrame, hmm: Hmm) -> DataFrame:
     """(conv_id, turn, n_lines, roles, rendered) for each message; roles are those of its lines."""
     small_batches(messages.sparkSession, 2000)
-    rows = messages.select("conv_id", "turn", "text").withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / F.lit(BLOCK)).cast("long"))
+    rows = messages.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / F.lit(BLOCK)).cast("long").alias("block"), "turn", "text")
+    order = [F.col("turn").asc_nulls_first(), F.coalesce("text", F.lit(""))]
     k = len(ROLES)
 
-    def squeeze(key, p: pd.DataFrame) -> pd.DataFrame:
-        m = _product([hmm.advance(s) for t in _ordered(p).text for s in symbols(t)[0]])
-        return pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "matrix": [m.ravel().tolist()]})
-
-    def chain(key, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("block")
-        enter, scores = [], hmm.start - np.log(k)
-        # the start table stands for the role before the first line
-        for flat in p.matrix:
-            enter.append(scores)
-            scores = (scores[:, None] + np.array(flat).reshape(k, k)).max(axis=0)
-            scores = scores - scores.max()
-        leave = [int(scores.argmax())]
-        for flat, e in zip(reversed(p.matrix.tolist()), reversed(enter), strict=True):
-            leave.append(int((e + np.array(flat).reshape(k, k)[:, leave[-1]]).argmax()))
-        return pd.DataFrame({"conv_id": p.conv_id, "block": p.block, "enter": [e.tolist() for e in enter], "leave": leave[:-1][::-1]})
-
-    def trace(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = _ordered(left)
-        parts = [symbols(t) for t in left.text]
-        found = viterbi(hmm, [s for syms, _ in parts for s in syms], np.array(right.enter.iloc[0]), int(right["leave"].iloc[0]))
-        out, at = [], 0
-        for (syms, lines), conv, turn in zip(parts, left.conv_id, left.turn, strict=True):
-            roles = [ROLES[r] for r in found[at : at + len(syms)]]
-            at += len(syms)
-            out.append((conv, turn, len(syms), roles, render(roles, lines)))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "n_lines", "roles", "rendered"]).astype({"turn": "Int64", "conv_id": "Int64"})
-
-    matrices = rows.groupBy("conv_id", "block").applyInPandas(squeeze, "conv_id long, block long, matrix array<double>")
-    ends = matrices.groupBy("conv_id").applyInPandas(chain, "conv_id long, block long, enter array<double>, leave int")
-    out = "conv_id long, turn long, n_lines long, roles array<string>, rendered string"
-    return rows.groupBy("conv_id", "block").cogroup(ends.groupBy("conv_id", "block")).applyInPandas(trace, out)
+    def squeeze(batches):
+        for key, run in _groups(batches, 2):
+            yield (*key, _product([hmm.advance(s) for r in run for s in symbols(r[3])[0]]).ravel().tolist())
+
+    def chain(batches):
+        for (conv,), run in _groups(batches, 1):
+            enter, scores = [], hmm.start - np.log(k)  # the start table stands for the role before the first line
+            matrices = [np.array(r[2]).reshape(k, k) for r in run]
+            for m in matrices:
+                enter.append(scores)
+                scores = (scores[:, None] + m).max(axis=0)
+                scores = scores - scores.max()
+            leave = [int(scores.argmax())]
+            for m, e in zip(reversed(matrices), reversed(enter), strict=True):
+                leave.append(int((e + m[:, leave[-1]]).argmax()))
+            for r, e, x in zip(run, enter, leave[:-1][::-1], strict=True):
+                yield conv, r[1], e.tolist(), x
+
+    def trace(batches):
+        for _, run in _groups(batches, 2):
+            parts = [symbols(r[3]) for r in run]
+            found, at = viterbi(hmm, [s for syms, _ in parts for s in syms], np.array(run[0][4]), run[0][5]), 0
+            for r, (syms, lines) in zip(run, parts, strict=True):
+                roles = [ROLES[x] for x in found[at : at + len(syms)]]
+                at += len(syms)
+                yield r[0], r[2], len(syms), roles, render(roles, lines)
+
+    matrices = _sorted_map(rows, ["conv_id", "block"], order, squeeze, "conv_id long, block long, matrix array<double>")
+    ends = _sorted_map(matrices, ["conv_id"], ["block"], chain, "conv_id long, block long, enter array<double>, leave int")
+    e = ends.select(F.col("conv_id").alias("e_conv"), F.col("block").alias("e_block"), "enter", "leave")
+    joined = rows.join(e, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block"))).select("conv_id", "block", "turn", "text", "enter", "leave")
+    return _sorted_map(joined, ["conv_id", "block"], order, trace, "conv_id long, turn long, n_lines long, roles array<string>, rendered string")
 
 
 def op10_chat_roles(spark, sf_dir: str) -> DataFrame:
