@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,3 +73,31 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], l
                 yield b.filter(pa.array(f(b.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files of finished phases now rather than at some later collection.
+
+    Python lets go of the JVM's objects first; what these alone held is found by a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+class SharedTables:
+    """Large intermediate results as Parquet in the shared folder, which cuts their lineage as a checkpoint does but
+    compressed; ``drop`` deletes them when the result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4()}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

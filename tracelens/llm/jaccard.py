@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import map_batches, small_batches
+from tracelens.llm.common import SharedTables, map_batches, release, small_batches
 from tracelens.session import ensure_checkpoint_dir
 
 NGRAM, PERCENT = 5, 80
@@ -322,16 +322,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that is reachable over links of the given similarity."""
-    ensure_checkpoint_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    tables = SharedTables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     member = classes(docs, n).checkpoint()
     reps = member.where("cls >= 0").groupBy("cls").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"))
     tasks, buckets = _buckets(docs)
-    met = meetings(packed_keys(docs, n, percent, buckets), tasks).checkpoint()
+    met = tables.keep(meetings(packed_keys(docs, n, percent, buckets), tasks).sortWithinPartitions("key", "cls"), "met")
+    release(spark)
 
     star = met.where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     wanted = met.select("cls").distinct().join(reps, "cls").select("cls", F.col("rep_id").alias("doc_id"))
-    texts = docs.join(wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"]).checkpoint()
+    texts = tables.keep(docs.join(wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"]), "texts")
+    release(spark)
     links = verify(star, texts, n, percent).checkpoint()
     comp = components(links)
 
@@ -346,7 +350,10 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
 
     named = comp.join(reps, "cls").groupBy("comp").agg(F.min("rep_id").alias("component_id"))
     of_class = reps.join(comp, "cls", "left").join(named, "comp", "left").select("cls", F.coalesce("component_id", "rep_id").alias("component_id"))
-    return member.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = member.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).checkpoint()
+    tables.drop()
+    release(spark)
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
