@@ -101,3 +101,26 @@ class SharedTables:
     def drop(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def even_labels(n: int) -> list[int]:
+    """Numbers that ``repartition(n, column)`` puts one into each of n partitions, in the partitions' order.
+
+    The rule is Spark's hash of an int (Murmur3 with seed 42), modulo n.
+    """
+    m = 0xFFFFFFFF
+
+    def rotated(x: int, r: int) -> int:
+        return (x << r | x >> (32 - r)) & m
+
+    found: dict[int, int] = {}
+    k = 0
+    while len(found) < n:
+        h = rotated(42 ^ (rotated(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m), 13) * 5 + 0xE6546B64 & m
+        h ^= 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        h ^= h >> 16
+        found.setdefault((h - (1 << 32) if h >> 31 else h) % n, k)
+        k += 1
+    return [found[p] for p in range(n)]

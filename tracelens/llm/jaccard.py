@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import SharedTables, map_batches, release, small_batches
+from tracelens.llm.common import SharedTables, even_labels, map_batches, release, small_batches
 from tracelens.session import ensure_checkpoint_dir
 
 NGRAM, PERCENT = 5, 80
@@ -117,12 +117,6 @@ def _digest(s: np.ndarray) -> int:
         return int(_mix(np.array([a * SEED + b + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
 
 
-def _buckets(df: DataFrame) -> tuple[int, int]:
-    """Reduce tasks and key ranges: a few ranges a task even the tasks out."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return n, 4 * n
-
-
 def classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, cls, n_shingles): texts with the same set of n-grams have the same class; -1 without n-grams."""
 
@@ -147,6 +141,7 @@ FLUSH = 1_000_000
 def packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(bucket, keys, cls): sorted 64-bit keys of a key range as bytes, with the class of each."""
     small_batches(docs.sparkSession)
+    labels = even_labels(buckets)
 
     def run(batches):
         words: dict[bytes, int] = {}
@@ -161,7 +156,7 @@ def packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
             b = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(b, np.arange(buckets + 1))
             full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([o[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "keys", "cls"])
+            return pa.RecordBatch.from_arrays([pa.array([labels[i] for i in full], pa.int32()), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([o[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "keys", "cls"])
 
         for batch in batches:
             if len(words) > 500_000:
@@ -328,8 +323,8 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     member = classes(docs, n).checkpoint()
     reps = member.where("cls >= 0").groupBy("cls").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"))
-    tasks, buckets = _buckets(docs)
-    met = tables.keep(meetings(packed_keys(docs, n, percent, buckets), tasks).sortWithinPartitions("key", "cls"), "met")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = tables.keep(meetings(packed_keys(docs, n, percent, tasks), tasks).sortWithinPartitions("key", "cls"), "met")
     release(spark)
 
     star = met.where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()

@@ -21,16 +21,14 @@ repeated under one id do not cover each other; an empty table gives an empty res
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import map_batches, small_batches
+from tracelens.llm.common import even_labels, map_batches, release, small_batches
 from tracelens.llm.jaccard import _mix
 from tracelens.llm.suffix_sort import _ranges, suffix_arrays
 from tracelens.session import ensure_checkpoint_dir
@@ -45,17 +43,6 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of finished phases now rather than at some later collection.
-
-    Python lets go of the JVM's objects first; what these alone held is found by a second collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 class Anchors:
     """Anchors of documents, by array operations over a concatenation."""
 
@@ -140,8 +127,9 @@ _PACKED = "bucket int, keys binary, ctx binary, docs binary, lo binary, span bin
 
 
 def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by key range; rows of bucket < 0 hold contexts already settled within the task (docs, lo, span)."""
+    """Anchors by key range; rows without keys hold contexts already settled within the task (docs, lo, span)."""
     small_batches(docs.sparkSession)
+    labels = even_labels(buckets)
 
     def run(batches):
         finder = Anchors()
@@ -169,7 +157,7 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 empty = pa.array([b""] * len(full), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i if sign > 0 else -1 - i for i in full], pa.int32()),
+                        pa.array([labels[i] for i in full], pa.int32()),
                         _bytes(key[rows], cuts, full) if sign > 0 else empty,
                         _bytes(ctx[rows], cuts, full) if sign > 0 else empty,
                         _bytes((doc[rows] - base).astype(wide), cuts, full),
@@ -212,7 +200,7 @@ def settle(packed: DataFrame, tasks: int) -> DataFrame:
         held = []
         for b in batches:
             for row in b.to_pylist():
-                if row["bucket"] < 0:
+                if not row["keys"]:
                     yield from out(*unpack(row), None)
                 else:
                     held.append((*unpack(row), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["ctx"], np.uint64)))
@@ -250,6 +238,7 @@ def settle(packed: DataFrame, tasks: int) -> DataFrame:
 def contexts(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Bytes of the contexts asked for, packed by key range: (bucket, keys, docs, lo, size, data)."""
     joined = docs.join(asked, "doc_id").select("doc_id", "text", "ask")
+    labels = even_labels(buckets)
 
     def run(batches):
         keys, ids, los, parts, held = [], [], [], [], 0
@@ -262,7 +251,7 @@ def contexts(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
             full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
             size = np.array([len(p) for p in parts], np.uint32)
             data = [b"".join([parts[x] for x in order[cuts[i] : cuts[i + 1]]]) for i in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), _bytes(k[order], cuts, full), _bytes(np.array(ids, np.int64)[order], cuts, full), _bytes(np.array(los, np.uint32)[order], cuts, full), _bytes(size[order], cuts, full), pa.array(data, pa.binary())], names=["bucket", "keys", "docs", "lo", "size", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([labels[i] for i in full], pa.int32()), _bytes(k[order], cuts, full), _bytes(np.array(ids, np.int64)[order], cuts, full), _bytes(np.array(los, np.uint32)[order], cuts, full), _bytes(size[order], cuts, full), pa.array(data, pa.binary())], names=["bucket", "keys", "docs", "lo", "size", "data"])
 
         for b in batches:
             for i, t, ask in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -412,7 +401,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
+    buckets = tasks
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(spark)
     packed_span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
