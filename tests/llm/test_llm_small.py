@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tracelens.llm import chat, decontam, jaccard, langid, media, mixing, suffix_dedup, tokens, toxicity, warc
 from tracelens.llm.suffix_sort import suffix_arrays
 
@@ -411,3 +412,11 @@ def test_chat_roles(spark, monkeypatch, block):
     two = next(r for r in out if (r.conv_id, r.turn) == (0, 1))
     assert two.rendered == "<|assistant|>\nit is\nso and so\n<|end|>\n" and two.n_lines == 2
     assert chat.recover(df.limit(0), chat.fit(df.limit(0))).count() == 0
+
+
+def test_even_labels_fill_each_partition_once(spark):
+    from tracelens.llm.common import even_labels
+
+    for n in (1, 5, 37):
+        df = spark.createDataFrame([(k,) for k in even_labels(n)], "bucket int").repartition(n, "bucket")
+        assert [r.p for r in df.select("bucket", F.spark_partition_id().alias("p")).orderBy("p").collect()] == list(range(n))
