@@ -414,6 +414,26 @@ def test_chat_roles(spark, monkeypatch, block):
     assert chat.recover(df.limit(0), chat.fit(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_chat_tables_against_counting(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    r = random.Random(6)
+    rows = [(c, t, r.choice([*chat.ROLES, *chat.ROLES, None, "tool"]), "line") for c in [*range(6), None] for t in range(r.choice([1, 3, 20, 700]))]
+    rows += [(1, None, "system", None), (50, 0, None, "x"), (50, 1, "user", "x"), (51, 300, "assistant", ""), (51, 900, "user", "")]
+    start, new = np.ones(3), np.ones((3, 3))
+    convs = {}
+    for c, t, role, text in sorted(rows, key=lambda x: (str(x[0]), x[1] is not None, x[1] or 0)):
+        convs.setdefault(c, []).append(chat.ROLES.index(role) if role in chat.ROLES else -1)
+    for roles in convs.values():
+        if roles[0] >= 0:
+            start[roles[0]] += 1
+        for a, b in zip(roles, roles[1:]):
+            if a >= 0 and b >= 0:
+                new[a, b] += 1
+    hmm = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert np.allclose(np.exp(hmm.start), start / start.sum()) and np.allclose(np.exp(hmm.step[1]), new / new.sum(axis=1, keepdims=True))
+
+
 def test_even_labels_fill_each_partition_once(spark):
     from tracelens.llm.common import even_labels
 

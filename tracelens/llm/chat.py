@@ -85,36 +85,57 @@ class Hmm:
         return self.step[sym & 1] + self.emit[:, sym][None, :]
 
 
+def block_of(turn: Column) -> Column:
+    """The block of a conversation that a turn lies in; a hot conversation is many blocks."""
+    return F.floor(F.coalesce(turn, F.lit(0)) / F.lit(BLOCK)).cast("long")
+
+
+def successions(messages: DataFrame) -> DataFrame:
+    """One row: s0.. are conversations whose first message has the role, n00.. messages by the role before and their own.
+
+    Pairs within a block are counted there; each block then goes on as one row with its counts and its first and last
+    role, and the last role is passed to the conversation's next block. Null and unknown roles are -1 and in no pair.
+    """
+    k = len(ROLES)
+    role = F.lit(-1)
+    for n, r in enumerate(ROLES):
+        role = F.when(F.col("role") == r, n).otherwise(role)
+    rows = messages.select("conv_id", block_of(F.col("turn")).alias("block"), "turn", F.coalesce("text", F.lit("")).alias("text"), role.alias("r"))
+    w = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "text", "r")
+    pairs = rows.withColumn("before", F.lag("r").over(w)).withColumn("after", F.lead("r").over(w))
+    cells = [(a, b) for a in range(k) for b in range(k)]
+    blocks = pairs.groupBy("conv_id", "block").agg(
+        F.max(F.when(F.col("before").isNull(), F.col("r"))).alias("first"),
+        F.max(F.when(F.col("after").isNull(), F.col("r"))).alias("last"),
+        *[F.count_if((F.col("before") == a) & (F.col("r") == b)).alias(f"n{a}{b}") for a, b in cells],
+    )
+    linked = blocks.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")))
+    return linked.agg(
+        *[F.count_if(F.col("before").isNull() & (F.col("first") == a)).alias(f"s{a}") for a in range(k)],
+        *[(F.coalesce(F.sum(f"n{a}{b}"), F.lit(0)) + F.count_if((F.col("before") == a) & (F.col("first") == b))).alias(f"n{a}{b}") for a, b in cells],
+    )
+
+
 def fit(messages: DataFrame) -> Hmm:
-    """Tables from counts with one added to each, over every message of known role; counts of a fixed number of cells."""
+    """Tables from counts with one added to each, over every message of known role; counts of a fixed number of cells.
+
+    A start is the first message of a conversation; a message after one of unknown role is neither start nor step.
+    """
 
     def count(batches):
         for b in batches:
-            rows = []
-            for conv, turn, role, text, before in zip(b.conv_id, b.turn, b.role, b.text, b.before, strict=True):
-                if role not in ROLES:
-                    continue
-                r = ROLES.index(role)
-                syms, _ = symbols(text)
-                rows += [("emit", r, s) for s in syms]
-                if len(syms) > 1:
-                    rows += [("in", r, r)] * (len(syms) - 1)
-                rows.append(("new", ROLES.index(before), r) if before in ROLES else ("start", r, 0))
-            yield pd.DataFrame(rows, columns=["kind", "a", "b"]).groupby(["kind", "a", "b"], as_index=False).size().rename(columns={"size": "n"}) if rows else pd.DataFrame({"kind": pd.Series(dtype=str), "a": [], "b": [], "n": []})
+            rows = [(ROLES.index(role), s) for role, text in zip(b.role, b.text, strict=True) if role in ROLES for s in symbols(text)[0]]
+            yield pd.DataFrame(rows, columns=["a", "b"]).groupby(["a", "b"], as_index=False).size().rename(columns={"size": "n"}) if rows else pd.DataFrame({"a": [], "b": [], "n": []})
 
     small_batches(messages.sparkSession, 2000)
-    before = F.lag("role").over(Window.partitionBy("conv_id", "part").orderBy("turn", "text"))
-    with_part = messages.withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / F.lit(BLOCK)))  # a hot conversation is many parts
-    counts = with_part.withColumn("before", before).select("conv_id", "turn", "role", "text", "before").mapInPandas(count, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    counts = messages.select("role", "text").mapInPandas(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     k = len(ROLES)
-    start, new, within, emit = np.ones(k), np.ones((k, k)), np.eye(k) * 1e6 + 1e-3, np.ones((k, N_SYMBOLS))
-    for row in counts.collect():  # at most 3 + 9 + 3 + 3 * N_SYMBOLS rows
-        if row.kind == "start":
-            start[row.a] += row.n
-        elif row.kind == "new":
-            new[row.a, row.b] += row.n
-        elif row.kind == "emit":
-            emit[row.a, row.b] += row.n
+    within, emit = np.eye(k) * 1e6 + 1e-3, np.ones((k, N_SYMBOLS))
+    for row in counts.collect():  # at most 3 * N_SYMBOLS rows
+        emit[row.a, row.b] += row.n
+    (n,) = successions(messages).collect()
+    start = np.array([1.0 + n[f"s{a}"] for a in range(k)])
+    new = np.array([[1.0 + n[f"n{a}{b}"] for b in range(k)] for a in range(k)])
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     return Hmm(log(start), np.stack([log(within), log(new)]), log(emit))
 
@@ -173,7 +194,7 @@ def _sorted_map(df: DataFrame, by: list[str], order: list, f, ddl: str) -> DataF
 def recover(messages: DataFrame, hmm: Hmm) -> DataFrame:
     """(conv_id, turn, n_lines, roles, rendered) for each message; roles are those of its lines."""
     small_batches(messages.sparkSession, 2000)
-    rows = messages.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / F.lit(BLOCK)).cast("long").alias("block"), "turn", "text")
+    rows = messages.select("conv_id", block_of(F.col("turn")).alias("block"), "turn", "text")
     order = [F.col("turn").asc_nulls_first(), F.coalesce("text", F.lit(""))]
     k = len(ROLES)
 
