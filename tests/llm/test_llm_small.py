@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,26 @@ def test_decontamination_edges(spark):
     assert decontam.decontaminate(docs(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontamination_null_item_ids(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    items = [(None, rnd(902, 20)), (None, "solo piece"), (2, "piece of"), (10, rnd(903, 15)), (None, None)]
+    rows = docs(spark, [(1, "x " + rnd(902, 20)), (2, "a solo piece of it"), (3, rnd(903, 15)), (4, "nothing here"), (5, "of solo")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.decontaminate(rows, bench).collect()}
+    assert got == {1: (21, 20, [None]), 2: (5, 3, ["2", None]), 3: (15, 15, ["10"]), 4: (2, 0, []), 5: (2, 0, [])}
+    assert {r.doc_id for r in decontam.keep_clean(rows, bench).collect()} == {4, 5}
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = decontam.op3_decontamination(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    cur = con.execute(decontam.SQL)
+    cols = [d[0] for d in cur.description]
+    assert sorted(map(tuple, out.select(cols).collect())) == sorted(cur.fetchall())
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 170, 4095, 4096, 4097, 33_000])
 def test_media_round_trip(size):
