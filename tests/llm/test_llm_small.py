@@ -90,6 +90,28 @@ def test_toxicity_edges(spark, model):
     assert [r.doc_id for r in kept.collect()] == [2] and len(kept.columns) == 7
 
 
+def many_words():
+    """Good documents of many words seen once, some of them near insults; bad ones with insults, one of 18 characters."""
+    r, letters = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
+    rare = [r.choice(["", "mo", "sc", "umb"]) + "".join(r.choice(letters) for _ in range(6)) for _ in range(14_000)]
+    rows = [(" ".join([*rare[k * 140 : k * 140 + 140], "the", "otherwise"]), 0) for k in range(100)]
+    rows += [(f"{r.choice(['moron', 'scumbag'])} the otherwise {rnd(k, 5)}", 1) for k in range(100)]
+    return rows + [(f"the otherwise insufferablenitwit {rnd(k + 500, 5)}", 1) for k in range(40)]
+
+
+def test_toxicity_leaves_no_word_unlearned(monkeypatch):
+    learned, against = set(), toxicity.Kernel.against
+    monkeypatch.setattr(toxicity.Kernel, "against", lambda self, words, *a, **b: learned.update(w.lstrip("^") for w in words) or against(self, words, *a, **b))
+    rows, k = many_words(), toxicity.Kernel()
+    m = toxicity.train(rows)
+    clean = sorted({w for t, y in rows if not y for w in t.split()})
+    z = m.decide(k, clean)
+    # a good word that was never shown to the machine lies beyond its margin
+    assert [w for w, x in zip(clean, z) if x > -1 + 1e-6 and w not in learned] == []
+    assert (m.probability(z) < 0.7).all()
+    assert (m.probability(m.decide(k, ["moron", "scumbag", "insufferablenitwit"])) >= 0.7).all()
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(5)

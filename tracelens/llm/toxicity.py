@@ -125,11 +125,10 @@ class Kernel:
                 part = idx[at : at + 2048]
                 yield np.array(part), self.codes([words[i] for i in part], n)
 
-    def dense(self, words: list[str]) -> np.ndarray:
-        """Normed feature rows; only for landmarks."""
+    def dense(self, words: list[str], cut: bool = True) -> np.ndarray:
+        """Normed feature rows; only for landmarks. ``cut``: words of one piece each, else pieces."""
         out = np.zeros((len(words), SIGNS**3), np.float32)
-        words = _pieces(words)[0]
-        for idx, codes in self.by_length(words):
+        for idx, codes in self.by_length(_pieces(words)[0] if cut else words):
             if codes.shape[1] < 3:
                 continue
             u, w = self.features(codes)
@@ -138,12 +137,11 @@ class Kernel:
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
-    def against(self, words: list[str], dense: np.ndarray) -> np.ndarray:
-        """Normed kernel values (words, landmarks)."""
+    def against(self, words: list[str], dense: np.ndarray, cut: bool = True) -> np.ndarray:
+        """Normed kernel values (words, landmarks); ``cut`` as in dense."""
         out = np.zeros((len(words), len(dense)), np.float32)
-        words = _pieces(words)[0]
         t = np.ascontiguousarray(dense.T)
-        for idx, codes in self.by_length(words):
+        for idx, codes in self.by_length(_pieces(words)[0] if cut else words):
             if codes.shape[1] < 3:
                 continue
             u, w = self.features(codes)
@@ -161,25 +159,33 @@ class Model:
 
     def decide(self, kernel: Kernel, words: list[str]) -> np.ndarray:
         parts, owner = _pieces(words)
+        out = np.full(len(words), -np.inf)
+        np.maximum.at(out, owner, self.values(kernel, parts))
+        return out
+
+    def values(self, kernel: Kernel, parts: list[str]) -> np.ndarray:
         val = np.full(len(parts), self.bias)
         for idx, codes in kernel.by_length(parts):
             if codes.shape[1] < 3:
                 continue
             u, w = kernel.features(codes)
             val[idx] += (self.v[u] @ w) / kernel.norms(codes)
-        out = np.full(len(words), -np.inf)
-        np.maximum.at(out, owner, val)
-        return out
+        return val
 
     def probability(self, z):
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.shift), -40, 40)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, classes weighed alike, by Newton steps over the rows within the margin."""
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) / len(y)
+def _svm(x: np.ndarray, y: np.ndarray, n_good: int, c: float = 10.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, classes weighed alike, by Newton steps over the rows within the margin.
+
+    ``n_good`` is the number of all good rows: those that are not in x lie beyond the margin and have no loss.
+    """
+    n_bad = int((y > 0).sum())
+    total = n_bad + n_good
+    weight = np.where(y > 0, 1 / (2 * max(1, n_bad)), 1 / (2 * max(1, n_good)))
     xb = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    reg = np.r_[np.ones(x.shape[1]), 0.01] / (2 * c * len(y))
+    reg = np.r_[np.ones(x.shape[1]), 0.01] / (2 * c * total)
 
     def cost(w):
         return reg @ (w * w) + weight @ np.maximum(0, 1 - y * (xb @ w)) ** 2
@@ -209,7 +215,7 @@ def _cover(bad: list[list[str]], in_bad: Counter, in_good: Counter) -> list[str]
     """
     open_, chosen, least = [set(b) for b in bad], [], LEAST if len(bad) >= 20 * LEAST else 1
     while open_:
-        c = Counter(w for b in open_ for w in b if 3 <= len(w) < PIECE and 50 * in_good[w] <= in_bad[w])
+        c = Counter(w for b in open_ for w in b if len(w) > 3 and 50 * in_good[w] <= in_bad[w])
         if not c:
             break
         best = min(c, key=lambda w: (-c[w], -in_bad[w], w))
@@ -220,15 +226,22 @@ def _cover(bad: list[list[str]], in_bad: Counter, in_good: Counter) -> list[str]
     return chosen
 
 
-def inserted(word: str) -> list[str]:
-    """The word with one sign put in between two letters, or with one letter doubled."""
-    out = [word[:i] + x + word[i:] for i in range(1, len(word)) for x in ("*", word[i])]
-    return [x for x in out if 4 < len(x) < PIECE]
+def inserted(piece: str) -> list[str]:
+    """The piece with one sign put in between two letters, or with one letter doubled; what is then beyond PIECE goes."""
+    if len(piece) < 5:
+        return []
+    out = [(piece[:i] + x + piece[i:])[:PIECE] for i in range(1 + (piece[0] == "^"), len(piece)) for x in ("*", piece[i])]
+    return [x for x in dict.fromkeys(out) if x != piece]
 
 
 def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
-    """From (text, label) pairs, in any order: the result depends on the set of pairs alone."""
-    bags = [(sorted(set(words_of(t))), int(y)) for t, y in sorted({(t or "", int(y)) for t, y in rows})]
+    """From (text, label) pairs, in any order: the result depends on the set of pairs alone.
+
+    Bags are of pieces, as these are scored; a word of fewer than PIECE characters is one piece. Good pieces beyond the
+    margin have no loss, so the machine is trained on some of them, those within the margin are added, and so on until
+    none is left out: the result is that of all good pieces.
+    """
+    bags = [(sorted(set(_pieces(words_of(t))[0])), int(y)) for t, y in sorted({(t or "", int(y)) for t, y in rows})]
     bad, good = [b for b, y in bags if y and b], [b for b, y in bags if not y]
     if not bad or not good:
         return Model(None)
@@ -239,37 +252,45 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
     # frequent words first; words that only one bag has are mostly chance
     witness = [w for w in witness if in_bad[w] >= 2] or witness
     # words that many bad bags have next to none of the good ones stand for them too, covered or not
-    witness += sorted(w for w, n in in_bad.items() if n >= 5 and 20 * n >= len(bad) and 50 * in_good[w] <= n and 3 <= len(w) < PIECE and w not in set(witness))
+    witness += sorted(w for w, n in in_bad.items() if n >= 5 and 20 * n >= len(bad) and 50 * in_good[w] <= n and len(w) > 3 and w not in set(witness))
     kernel = Kernel()
-    clean = sorted((w for w in in_good if 3 <= len(w) < PIECE and w not in set(witness)), key=lambda w: (-in_good[w], w))
+    stands = set(witness)
+    # pieces of fewer than three signs have no triple; those of bad bags nearly alone are not good ones
+    clean = sorted((w for w in in_good if len(w) >= 3 and 50 * in_good[w] > in_bad[w] and w not in stands), key=lambda w: (-in_good[w], w))
     marks = witness[:LANDMARKS] + clean[:CLEAN_LANDMARKS]
-    negatives = list(dict.fromkeys(clean[:2000] + clean[:: max(1, len(clean) // 6000)]))
-    gapped = [v for w in witness[:LANDMARKS] for v in inserted(w) if not in_good[v]]
+    negatives = list(dict.fromkeys(clean[:2000] + clean[:: max(1, len(clean) // 6000)]))  # to begin with
     words = sorted(set(in_bad) | set(in_good))
     for k in range(rounds + 1):
-        dense = kernel.dense(marks)
+        dense = kernel.dense(marks, cut=False)
         values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
         keep = values > 1e-4 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem: k(x, landmarks) @ root
-        xp, xn = kernel.against(witness + gapped, dense) @ root, kernel.against(negatives, dense) @ root
-        w, bias = _svm(np.vstack([xp, xn]), np.r_[np.ones(len(xp)), -np.ones(len(xn))])
-        model = Model((dense.T @ (root @ w)).astype(np.float64), bias)
-        z = dict(zip(words, model.decide(kernel, words).tolist(), strict=True))
+        gapped = list(dict.fromkeys(v for w in witness for v in inserted(w) if not in_good[v]))
+        xp, xn = (kernel.against(side, dense, cut=False) @ root for side in (witness + gapped, negatives))
+        have = set(negatives)
+        while True:
+            w, bias = _svm(np.vstack([xp, xn]), np.r_[np.ones(len(xp)), -np.ones(len(xn))], len(clean))
+            model = Model((dense.T @ (root @ w)).astype(np.float64), bias)
+            z = dict(zip(words, model.values(kernel, words).tolist(), strict=True))
+            left = sorted((x for x in clean if z[x] > -1 and x not in have), key=lambda x: (-z[x], x))
+            if not left or k < rounds:
+                break
+            negatives += left
+            have.update(left)
+            xn = np.vstack([xn, kernel.against(left, dense, cut=False) @ root])
         if k == rounds:
             break
         # open bags are stood for by their worst word, if the machine is close to taking it for one
         stood = set(witness)
         for b in bad:
             if stood.isdisjoint(b):
-                x = max((x for x in b if 3 <= len(x) < PIECE and not in_good[x]), key=lambda x: (z[x], x), default=None)
+                x = max((x for x in b if len(x) > 3 and not in_good[x]), key=lambda x: (z[x], x), default=None)
                 if x is not None and z[x] > -0.6:
                     witness.append(x)
         witness = list(dict.fromkeys(witness))
-        # good words nearest to the bad side are learned as good, and the first of them become landmarks
-        have = set(negatives)
-        wrong = sorted((x for x in in_good if z[x] > -0.5 and 3 <= len(x) < PIECE and x not in have and 50 * in_good[x] > in_bad[x]), key=lambda x: (-z[x], x))[:3000]
-        negatives += wrong
-        marks += [x for x in wrong if x not in set(marks)][:HARD_LANDMARKS]
+        # good words nearest to the bad side become landmarks
+        negatives += left
+        marks += [x for x in left if x not in set(marks)][:HARD_LANDMARKS]
     zb = [np.array([max((z[x] for x in b), default=bias) for b in side]) for side in (good, bad)]
     lo, hi = np.sort(zb[0]), np.sort(zb[1])
     cuts = np.unique(np.r_[lo, hi])
