@@ -2,8 +2,8 @@
 
 The kernel of two words is the gap-weighted subsequence kernel of order 3: every common subsequence of three characters
 counts, with a decay for each character it spans, so gapped insults and insults with inserted characters stay near the
-plain ones. Landmark words span the Nystroem space; a linear support vector machine learns in it from the sentences of
-labelled documents. A document is labelled as a whole, so it is a bag: a bad document is stood for by the words that cover most
+plain ones. Landmark words span the Nystroem space; a linear support vector machine learns in it from the words of
+labelled documents; sentences are not formed, so nothing that spans a blank is learned. A document is labelled as a whole, so it is a bag: a bad document is stood for by the words that cover most
 bad documents, a good one by all its words. The score of a text is that of its worst word.
 
 At the kernel's order the machine's decision is a weighted sum over the character triples of a word, divided by the
