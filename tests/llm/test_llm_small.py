@@ -310,7 +310,7 @@ def test_jaccard_edges(spark):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 95])
-def test_similar_sets_share_a_key(percent):
+def test_similar_sets_share_a_key_and_pass_the_sketch(percent):
     rng, bands = np.random.default_rng(percent), jaccard.Bands(percent)
     for _ in range(300):
         n = int(rng.integers(1, 300))
@@ -320,8 +320,54 @@ def test_similar_sets_share_a_key(percent):
         drop = int(rng.integers(0, len(b)))
         b = np.delete(b, rng.permutation(len(b))[: drop % max(1, len(b) // 5)])
         common = len(np.intersect1d(a, b))
+        sets = jaccard.Sets(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+        x, y = sets.sketches()
+        assert jaccard.hamming(x, y) <= len(a) + len(b) - 2 * common
         if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
-            assert np.intersect1d(np.concatenate(jaccard.block_keys(a, bands)), np.concatenate(jaccard.block_keys(b, bands))).size
+            owner, keys = jaccard.block_keys(sets, bands)
+            assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
+def test_sets_against_python():
+    texts = [None, b"", b" one ", b"a b", b"A B", b"a b c a b c a b", b"x a b c"]
+    sets = jaccard.Hasher(3).sets(texts)
+    grams = []
+    for t in texts:
+        w = (t or b"").lower().split()
+        grams.append({tuple(w[i : i + min(3, len(w))]) for i in range(len(w) - min(3, len(w)) + 1)} if w else set())
+    for i, g in enumerate(grams):
+        assert len(sets[i]) == len(g)
+        for j, h in enumerate(grams):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(g & h)
+    d = sets.digests().tolist()
+    assert d[0] == d[1] == -1 and d[3] == d[4] and len(set(d)) == 5
+
+
+def test_keys_survive_their_packing():
+    k = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
+    assert (jaccard._from_planes(jaccard._planes(k)) == k >> np.uint64(8) << np.uint64(8)).all()
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    a, b = rnd(71, 80), rnd(72, 80)
+    near = lambda t: t + " tail"
+    rows = [(5, a), (5, b), (9, near(a)), (10, near(b)), (4, rnd(73, 80)), (5, a)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs(spark, rows), 3, 90).collect())
+    assert got == [(4, 4), (5, 5), (5, 5), (5, 5), (9, 5), (10, 5)]
+    rows = [(5, a), (5, b), (3, near(a))]
+    kept = jaccard.keep_one(docs(spark, rows).withColumnRenamed("score", "nd_doc").withColumnRenamed("spans", "nd_hash"), 3, 90)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, b), (3, near(a))])
+
+
+def test_jaccard_crowded_keys(spark):
+    """Texts that are half one shared passage, in pairs of near copies: keys of the passage hold many components."""
+    shared, rows = rnd(80, 100), []
+    for k in range(0, 40, 2):
+        own = rnd(81 + k, 60 + k)
+        rows += [(k, f"{shared} {own}"), (k + 1, f"{shared} edit {own}")]
+    for n, percent in ((5, 80), (3, 90), (2, 50)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, rows), n, percent).collect()}
+        assert got == brute_components(rows, n, percent)
 
 
 def test_components_of_a_chain(spark):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,15 +74,35 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], l
     return df.mapInArrow(run, df.schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of finished phases now rather than at some later collection.
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends; a retry within a query still finds them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    Python lets go of the JVM's objects first; what these alone held is found by a second collection.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+
+#: Bytes of input for each key range, so that a range's keys fit a worker whatever the input.
+RANGE_BYTES = 8 << 20
+
+
+def key_ranges(docs: DataFrame) -> int:
+    """The number of ranges that keys are dealt to: by the input's bytes, and spark.sql.shuffle.partitions at least."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 50 else max(least, -(-size // RANGE_BYTES))  # a plan of unknown size says far more
+
+
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """The name, or the name with underscores until no column of docs is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class SharedTables:

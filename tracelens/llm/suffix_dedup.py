@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import even_labels, map_batches, release, small_batches
+from tracelens.llm.common import even_labels, map_batches, small_batches, tidy_shuffles
 from tracelens.llm.jaccard import _mix
 from tracelens.llm.suffix_sort import _ranges, suffix_arrays
 from tracelens.session import ensure_checkpoint_dir
@@ -411,10 +411,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
         .checkpoint()
     )
-    release(spark)
     asked = plan.where(F.size("ask") > 0).select("doc_id", "ask")
     more = compare(contexts(docs.where("doc_id is not null and text is not null"), asked, buckets), tasks).groupBy("doc_id").agg(F.collect_list("at").alias("more")).checkpoint()
-    release(spark)
     whole = F.transform("more", lambda at: F.shiftleft(at.cast("long"), 32).bitwiseOR(at.cast("long") + F.lit(LENGTH)))
     both = plan.select("doc_id", "done").join(more, "doc_id", "full")
     none = F.array().cast("array<bigint>")
