@@ -162,11 +162,25 @@ def removed(spark, rows):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removals(docs(spark, rows)).collect())
 
 
-@pytest.mark.parametrize("block", [0, 200, 32_768])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,portion,slice_bytes", [(0, 1 << 19, 2 << 20), (200, 70, 2 << 20), (32_768, 500, 10)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, tmp_path, block, portion, slice_bytes):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    rows = copies()
+    monkeypatch.setattr(suffix_dedup, "PORTION", portion)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    rows = copies() + [(80, copies()[0][1] * 20)]  # a text of many portions
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))  # a plan of known size, so that there are many slices
+    got = suffix_dedup.removals(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_spans(rows)
+
+
+def test_suffix_dedup_rows_that_share_an_id(spark):
+    one, two, three = rnd(31, 40), rnd(32, 40), rnd(33, 40)
+    rows = [(1, one), (5, f"{one} {three}"), (5, f"x {two}"), (5, f"x {two}"), (6, two), (7, three), (None, one)]
     assert removed(spark, rows) == brute_spans(rows)
+    kept = suffix_dedup.clean(docs(spark, rows).withColumnRenamed("score", "sd_spans").withColumnRenamed("spans", "sd_doc"))
+    assert "sd_spans" in kept.columns and "sd_doc" in kept.columns
+    want = [("1", one), ("5", f" {three}"), ("5", f"x {two}"), ("5", f"x {two}"), ("6", ""), ("7", ""), ("None", one)]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == want
 
 
 def test_suffix_dedup_edges(spark):

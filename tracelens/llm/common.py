@@ -90,11 +90,15 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
 RANGE_BYTES = 8 << 20
 
 
+def input_bytes(docs: DataFrame) -> int | None:
+    """The planner's size of what docs is read from; None where it has none, as for rows of the driver."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return None if size >= 1 << 50 else size
+
+
 def key_ranges(docs: DataFrame) -> int:
     """The number of ranges that keys are dealt to: by the input's bytes, and spark.sql.shuffle.partitions at least."""
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return least if size >= 1 << 50 else max(least, -(-size // RANGE_BYTES))  # a plan of unknown size says far more
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(input_bytes(docs) or 0) // RANGE_BYTES))
 
 
 def fresh_name(docs: DataFrame, name: str) -> str:

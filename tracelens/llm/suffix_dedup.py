@@ -12,11 +12,15 @@ bytes that they cover together. Contexts meet under their anchor:
    group is first cut by halves of the anchor's place within the string, each half keyed by the bytes that all its
    strings share, until the parts are small.
 
-Anchors travel packed: a task sends the reducers of a key range one row. A context that a task has met in a smaller
-document is settled there and not sent, so copies cost one row a task.
+Anchors travel packed: a task sends one row for each slice of the keys. The reducers get their slices in order, sorted by
+Spark, and hold one at a time; there are as many slices as the input's bytes ask for, so what a reducer holds does not
+grow with the input. A context that a task has met in a smaller document is settled there and not sent, so copies cost
+one row a task. Texts are taken by PORTION bytes, and a longer text in pieces of that size that overlap.
 
 Defined cases: null texts are empty; texts below 50 bytes keep all; rows without an id are kept and cover nothing; rows
-repeated under one id do not cover each other; an empty table gives an empty result; other columns pass ``clean``.
+repeated under one id do not cover each other, whether their texts are equal or not, and each text of an id loses its
+own bytes; an empty table gives an empty result; other columns pass ``clean``, whatever their names. The spans of one
+text are held together, unmerged: at most 8 bytes for each 16 of the text.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import even_labels, map_batches, small_batches, tidy_shuffles
+from tracelens.llm.common import even_labels, fresh_name, input_bytes, map_batches, small_batches, tidy_shuffles
 from tracelens.llm.jaccard import _mix
 from tracelens.llm.suffix_sort import _ranges, suffix_arrays
 from tracelens.session import ensure_checkpoint_dir
@@ -36,6 +40,8 @@ from tracelens.session import ensure_checkpoint_dir
 LENGTH, CORE = 50, 20
 #: Anchors that a task gathers before it hands them to the shuffle; bytes of a suffix array at most; bytes sorted in step.
 FLUSH, BLOCK, IN_STEP = 600_000, 32_768, 1 << 20
+#: Bytes of text whose anchors are found at once (places have 24 bits), and bytes of input for each slice of the keys.
+PORTION, SLICE_BYTES = 1 << 19, 2 << 20
 
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E6C63D0876A9A99 | 1)
@@ -53,8 +59,8 @@ class Anchors:
     def _powers(self, n: int) -> None:
         if len(self.powers) < n:
             with np.errstate(over="ignore"):
-                self.powers = np.r_[np.uint64(1), np.cumprod(np.full(2 * n, _BASE, np.uint64))]
-                self.inverse = np.r_[np.uint64(1), np.cumprod(np.full(2 * n, _BASE_INV, np.uint64))]
+                self.powers = np.r_[np.uint64(1), np.cumprod(np.full(n, _BASE, np.uint64))]
+                self.inverse = np.r_[np.uint64(1), np.cumprod(np.full(n, _BASE_INV, np.uint64))]
 
     def _slide(self, x: np.ndarray, width: int, f) -> np.ndarray:
         """f over windows of `width`, by doubling."""
@@ -67,53 +73,54 @@ class Anchors:
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(doc, lo, span, key, ctx, at) for each anchor: its document's index, its context's start, strings less one, place."""
+        found = [self._find(*portion) for portion in self._portions(texts)]
+        if not found:
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _portions(self, texts: list[bytes]):
+        """(pieces, their documents, their places in these) of about PORTION bytes; pieces of one text overlap by less
+        than a string, so that each string is in one of them."""
+        pieces, held = [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, max(1, len(t) - self.length + 1), PORTION):
+                piece = t if len(t) <= PORTION else t[at : at + PORTION + self.length - 1]
+                if held and held + len(piece) > PORTION:
+                    yield tuple(zip(*pieces, strict=True))
+                    pieces, held = [], 0
+                if len(piece) >= self.length:
+                    pieces.append((piece, i, at))
+                    held += len(piece)
+                if len(t) <= PORTION:
+                    break
+        if pieces:
+            yield tuple(zip(*pieces, strict=True))
+
+    def _find(self, pieces, docs, places) -> tuple[np.ndarray, ...]:
         length, core = self.length, self.core
-        sizes = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in pieces], np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
-        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),)
-        if n < length:
-            return none
-        if n >= 1 << 24 and len(texts) > 1:  # places have 24 bits
-            half = len(texts) // 2
-            a, b = self.find(texts[:half]), self.find(texts[half:])
-            return (np.r_[a[0], b[0] + half], *(np.r_[x, y] for x, y in zip(a[1:], b[1:], strict=True)))
         self._powers(n + 1)
         with np.errstate(over="ignore"):
-            t = _TABLE[data]
-            total = np.r_[np.uint64(0), np.cumsum(t * self.powers[:n])]
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_TABLE[data] * self.powers[:n], out=total[1:])
             h = _mix((total[core:] - total[: n - core + 1]) * self.inverse[: n - core + 1])
         start = np.cumsum(sizes) - sizes
-        if n < 1 << 24:
-            v = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-            least = self._slide(v, length - core + 1, np.minimum)
-            anchor = (least & _PLACE).astype(np.int64)
-        else:  # one text of 16 MB or more: window by window of its parts
-            anchor = self._long(h)
-        # string starts that stay in their document, and runs of one anchor
-        m = np.maximum(sizes - length + 1, 0)
-        at, doc = _ranges(start, m)
-        if not len(at):
-            return none
-        anchor = anchor[at]
-        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+        least = self._slide((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - core + 1, np.minimum)
+        # string starts that stay in their piece, and runs of one anchor
+        at, piece = _ranges(start, sizes - length + 1)
+        anchor = (least & _PLACE).astype(np.int64)[at]
+        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
         lo = at[first]
         span = np.diff(np.r_[first, len(at)]) - 1
-        a = anchor[first]
+        a, piece = anchor[first], piece[first]
         hi = lo + span + length
         with np.errstate(over="ignore"):
             ctx = _mix((total[hi] - total[lo]) * self.inverse[lo])
             ctx = _mix(ctx + (hi - lo).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (a - lo).astype(np.uint64))
-        return doc[first], lo - start[doc[first]], span, h[a], ctx, a - start[doc[first]]
-
-    def _long(self, h: np.ndarray) -> np.ndarray:
-        width = self.length - self.core + 1
-        out, step = [], 1 << 23
-        for at in range(0, len(h) - width + 1, step):
-            part = h[at : at + step + width - 1]
-            v = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-            out.append((self._slide(v, width, np.minimum) & _PLACE).astype(np.int64) + at)
-        return np.concatenate(out)
+        back = np.array(places, np.int64)[piece] - start[piece]
+        return np.array(docs, np.int64)[piece], lo + back, span, h[a], ctx, a + back
 
 
 _FINDER = Anchors()
@@ -123,13 +130,46 @@ def _bytes(x: np.ndarray, cuts: np.ndarray, rows: list[int]) -> pa.Array:
     return pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())
 
 
-_PACKED = "bucket int, keys binary, ctx binary, docs binary, lo binary, span binary, base long"
+class Slices:
+    """Keys are dealt to slices by value, and runs of ``each`` slices to the same task."""
+
+    def __init__(self, tasks: int, size: int | None):
+        self.each = max(1, -(-(size or 0) // (SLICE_BYTES * tasks)))
+        self.tasks, self.count, self.labels = tasks, tasks * self.each, even_labels(tasks)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(self.count) >> np.uint64(32)).astype(np.int64)
+
+    def rows(self, slices: np.ndarray) -> tuple[list[int], np.ndarray, list[pa.Array]]:
+        """From sorted slice numbers: the slices that have any, where each begins, and the columns (bucket, slice)."""
+        cuts = np.searchsorted(slices, np.arange(self.count + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        return full, cuts, [pa.array([self.labels[i // self.each] for i in full], pa.int32()), pa.array(full, pa.int64())]
+
+    def deal(self, packed: DataFrame) -> DataFrame:
+        return packed.repartition(self.tasks, "bucket").sortWithinPartitions("slice")
+
+
+def _runs(batches, column: str = "slice"):
+    """Rows as dicts, in lists of one slice each; rows come sorted."""
+    held, now = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            if row[column] != now and held:
+                yield held
+                held = []
+            now = row[column]
+            held.append(row)
+    if held:
+        yield held
 
 
-def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by key range; rows without keys hold contexts already settled within the task (docs, lo, span)."""
+_PACKED = "bucket int, slice long, keys binary, ctx binary, docs binary, nos binary, lo binary, span binary, base long"
+
+
+def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
+    """Anchors by slice; rows without keys hold contexts already settled within the task (docs, lo, span)."""
     small_batches(docs.sparkSession)
-    labels = even_labels(buckets)
 
     def run(batches):
         finder = Anchors()
@@ -137,141 +177,148 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         count = 0
 
         def flush():
-            doc, lo, span, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, no, lo, span, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, ctx, key))
-            doc, lo, span, key, ctx = doc[order], lo[order], span[order], key[order], ctx[order]
+            doc, no, lo, span, key, ctx = doc[order], no[order], lo[order], span[order], key[order], ctx[order]
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
             least = np.repeat(doc[first], np.diff(np.r_[first, len(doc)]))
             settled = doc > least
             base = int(doc.min())
             wide = np.int64 if int(doc.max()) - base >= 1 << 32 else np.uint32
-            # grouped by range, by document within: neighbours compress
+            # grouped by slice, by document within: neighbours compress
             for rows, sign in ((np.flatnonzero(settled), -1), (np.flatnonzero(~settled), 1)):
                 if not len(rows):
                     continue
-                b = ((key[rows] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                rows = rows[np.lexsort((lo[rows], doc[rows], b))]
-                b = np.sort(b)
-                cuts = np.searchsorted(b, np.arange(buckets + 1))
-                full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+                b = slices.of(key[rows])
+                order = np.lexsort((lo[rows], doc[rows], b))
+                rows = rows[order]
+                full, cuts, where = slices.rows(b[order])
                 empty = pa.array([b""] * len(full), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([labels[i] for i in full], pa.int32()),
+                        *where,
                         _bytes(key[rows], cuts, full) if sign > 0 else empty,
                         _bytes(ctx[rows], cuts, full) if sign > 0 else empty,
                         _bytes((doc[rows] - base).astype(wide), cuts, full),
+                        _bytes(no[rows].astype(np.int32), cuts, full) if no[rows].any() else empty,
                         _bytes(lo[rows].astype(np.uint32), cuts, full),
                         _bytes(span[rows].astype(np.uint8), cuts, full),
                         pa.array([base if wide is np.uint32 else None] * len(full), pa.int64()),
                     ],
-                    names=["bucket", "keys", "ctx", "docs", "lo", "span", "base"],
+                    names=["bucket", "slice", "keys", "ctx", "docs", "nos", "lo", "span", "base"],
                 )
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, lo, span, key, ctx, _ = finder.find(batch.column(1).cast(pa.binary()).to_pylist())
-            if len(doc):
-                held.append((ids[doc], lo, span, key, ctx))
-                count += len(doc)
-            if count > FLUSH:
-                yield from flush()
-                held, count = [], 0
+            ids, nos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            doc, lo, span, key, ctx, _ = finder.find(batch.column(2).cast(pa.binary()).to_pylist())
+            for at in range(0, len(doc), FLUSH):
+                to = slice(at, at + FLUSH)
+                held.append((ids[doc[to]], nos[doc[to]], lo[to], span[to], key[to], ctx[to]))
+                count += len(doc[to])
+                if count > FLUSH:
+                    yield from flush()
+                    held, count = [], 0
         if count:
             yield from flush()
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, _PACKED)
+    return docs.select("doc_id", "no", "text").where("doc_id is not null and text is not null").mapInArrow(run, _PACKED)
+
+
+def _numbers(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32).astype(np.int64) if data else np.zeros(count, np.int64)
 
 
-def settle(packed: DataFrame, tasks: int) -> DataFrame:
-    """(doc_id, lo, hi, key): bytes lo..hi are covered where key is null; else they are to be compared under the key."""
+def settle(packed: DataFrame) -> DataFrame:
+    """(doc_id, no, lo, hi, key): bytes lo..hi are covered where key is null; else they are to be compared under the key."""
 
     def unpack(row):
         docs = np.frombuffer(row["docs"], np.int64).copy() if row["base"] is None else np.frombuffer(row["docs"], np.uint32).astype(np.int64) + row["base"]
-        return docs, np.frombuffer(row["lo"], np.uint32).astype(np.int64), np.frombuffer(row["span"], np.uint8).astype(np.int64)
+        return docs, _numbers(row["nos"], len(docs)), np.frombuffer(row["lo"], np.uint32).astype(np.int64), np.frombuffer(row["span"], np.uint8).astype(np.int64)
 
-    def out(doc, lo, span, key):
+    def out(doc, no, lo, span, key):
         for at in range(0, len(doc), 100_000):
             to = slice(at, at + 100_000)
             keys = pa.nulls(len(doc[to]), pa.int64()) if key is None else pa.array(key[to].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(lo[to].astype(np.int32)), pa.array((lo[to] + span[to] + LENGTH).astype(np.int32)), keys], names=["doc_id", "lo", "hi", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(no[to].astype(np.int32)), pa.array(lo[to].astype(np.int32)), pa.array((lo[to] + span[to] + LENGTH).astype(np.int32)), keys], names=["doc_id", "no", "lo", "hi", "key"])
 
     def run(batches):
-        held = []
-        for b in batches:
-            for row in b.to_pylist():
+        for rows in _runs(batches):
+            held = []
+            for row in rows:
                 if not row["keys"]:
                     yield from out(*unpack(row), None)
                 else:
                     held.append((*unpack(row), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["ctx"], np.uint64)))
-        if not held:
-            return
-        doc, lo, span, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
+            if held:
+                yield from meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def meet(doc, no, lo, span, key, ctx):
         # keys of one document end here
         order = np.argsort(key, kind="stable")
-        k = key[order]
+        k, d = key[order], doc[order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[first, len(k)])
-        d = doc[order]
         shared = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-        keep = order[np.repeat(shared, size)]
-        doc, lo, span, key, ctx = doc[keep], lo[keep], span[keep], key[keep], ctx[keep]
-        if not len(doc):
+        keep = order[np.repeat(shared, np.diff(np.r_[first, len(k)]))]
+        if not len(keep):
             return
-        order = np.lexsort((doc, ctx, key))
-        doc, lo, span, key, ctx = doc[order], lo[order], span[order], key[order], ctx[order]
+        keep = keep[np.lexsort((doc[keep], ctx[keep], key[keep]))]
+        doc, no, lo, span, key, ctx = doc[keep], no[keep], lo[keep], span[keep], key[keep], ctx[keep]
         new_key = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new_key | np.r_[True, ctx[1:] != ctx[:-1]])
         least = np.repeat(doc[first], np.diff(np.r_[first, len(doc)]))
         covered = doc > least
-        yield from out(doc[covered], lo[covered], span[covered], None)
+        yield from out(doc[covered], no[covered], lo[covered], span[covered], None)
         # several contexts under a key: fetch those of each context's smallest document
         key_no = np.cumsum(new_key) - 1
         many = np.bincount(key_no[first])[key_no] > 1
         ask = many & ~covered
-        yield from out(doc[ask], lo[ask], span[ask], key[ask])
+        yield from out(doc[ask], no[ask], lo[ask], span[ask], key[ask])
 
-    return packed.repartition(tasks, "bucket").mapInArrow(run, "doc_id long, lo int, hi int, key long")
+    return packed.mapInArrow(run, "doc_id long, no int, lo int, hi int, key long")
 
 
-def contexts(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
-    """Bytes of the contexts asked for, packed by key range: (bucket, keys, docs, lo, size, data)."""
-    joined = docs.join(asked, "doc_id").select("doc_id", "text", "ask")
-    labels = even_labels(buckets)
+def contexts(docs: DataFrame, asked: DataFrame, slices: Slices) -> DataFrame:
+    """Bytes of the contexts asked for, packed by slice: (bucket, slice, keys, docs, nos, lo, size, data)."""
+    joined = docs.join(asked, ["doc_id", "no"]).select("doc_id", "no", "text", "ask")
 
     def run(batches):
-        keys, ids, los, parts, held = [], [], [], [], 0
+        keys, ids, nos, los, parts, held = [], [], [], [], [], 0
 
         def flush():
             k = np.array(keys, np.int64).view(np.uint64)
-            b = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            b = slices.of(k)
             order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+            full, cuts, where = slices.rows(b[order])
             size = np.array([len(p) for p in parts], np.uint32)
             data = [b"".join([parts[x] for x in order[cuts[i] : cuts[i + 1]]]) for i in full]
-            return pa.RecordBatch.from_arrays([pa.array([labels[i] for i in full], pa.int32()), _bytes(k[order], cuts, full), _bytes(np.array(ids, np.int64)[order], cuts, full), _bytes(np.array(los, np.uint32)[order], cuts, full), _bytes(size[order], cuts, full), pa.array(data, pa.binary())], names=["bucket", "keys", "docs", "lo", "size", "data"])
+            return pa.RecordBatch.from_arrays(
+                [*where, _bytes(k[order], cuts, full), _bytes(np.array(ids, np.int64)[order], cuts, full), _bytes(np.array(nos, np.int32)[order], cuts, full), _bytes(np.array(los, np.uint32)[order], cuts, full), _bytes(size[order], cuts, full), pa.array(data, pa.binary())],
+                names=["bucket", "slice", "keys", "docs", "nos", "lo", "size", "data"],
+            )
 
         for b in batches:
-            for i, t, ask in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, no, t, ask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for a in ask:
                     keys.append(a["key"])
                     ids.append(i)
+                    nos.append(no)
                     los.append(a["lo"])
                     parts.append(t[a["lo"] : a["hi"]])
                 held += len(ask)
-            if held > FLUSH // 4:
-                yield flush()
-                keys, ids, los, parts, held = [], [], [], [], 0
+                if held > FLUSH // 4:
+                    yield flush()
+                    keys, ids, nos, los, parts, held = [], [], [], [], [], 0
         if held:
             yield flush()
 
-    return joined.mapInArrow(run, "bucket int, keys binary, docs binary, lo binary, size binary, data binary")
+    return joined.mapInArrow(run, "bucket int, slice long, keys binary, docs binary, nos binary, lo binary, size binary, data binary")
 
 
-def compare_blocks(blocks: list[tuple[list[bytes], list[int], list[int]]], emit) -> None:
-    """Suffix arrays of blocks of (texts, documents, places); emit(document, lo, hi) for strings a smaller document has."""
+def compare_blocks(blocks: list[tuple[list[bytes], list[int], list[int]]], many: int, emit) -> None:
+    """Suffix arrays of blocks of (texts, owners, places); emit(owner, place) for strings a smaller document has.
+
+    An owner is its document's rank times ``many`` plus the number of its text under that id.
+    """
     blocks.sort(key=lambda b: sum(map(len, b[0])))
     at = 0
     while at < len(blocks):
@@ -279,11 +326,11 @@ def compare_blocks(blocks: list[tuple[list[bytes], list[int], list[int]]], emit)
         while to < len(blocks) and (to == at or held < IN_STEP):
             held += sum(map(len, blocks[to][0])) + len(blocks[to][0])
             to += 1
-        _compare(blocks[at:to], emit)
+        _compare(blocks[at:to], many, emit)
         at = to
 
 
-def _compare(blocks, emit) -> None:
+def _compare(blocks, many: int, emit) -> None:
     joined, doc_of, place_of, valid = [], [], [], []
     for texts, docs, places in blocks:
         joined.append(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8))  # no byte of UTF-8
@@ -311,60 +358,66 @@ def _compare(blocks, emit) -> None:
         same[i:j] = (view[s[i:j]] == view[s[i - 1 : j - 1]]).all(axis=1)
     same[1:] &= block[rows[1:]] == block[rows[:-1]]
     first = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(doc[s], first), np.diff(np.r_[first, len(s)]))
-    hit = s[doc[s] > least]
+    rank = doc[s] // many
+    least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(s)]))
+    hit = s[rank > least]
     emit(doc[hit], place[hit])
 
 
-def compare(packed: DataFrame, tasks: int) -> DataFrame:
-    """(doc_id, at): starts of strings of LENGTH bytes that a smaller document has."""
+def compare(packed: DataFrame) -> DataFrame:
+    """(doc_id, no, at): starts of strings of LENGTH bytes that a smaller document has."""
 
     def run(batches):
-        keys, docs, los, parts = [], [], [], []
-        for b in batches:
-            for row in b.to_pylist():
+        for rows in _runs(batches):
+            keys, docs, nos, los, parts = [], [], [], [], []
+            for row in rows:
                 size = np.frombuffer(row["size"], np.uint32).astype(np.int64)
                 ends = np.cumsum(size)
                 keys.append(np.frombuffer(row["keys"], np.uint64))
                 docs.append(np.frombuffer(row["docs"], np.int64))
+                nos.append(np.frombuffer(row["nos"], np.int32))
                 los.append(np.frombuffer(row["lo"], np.uint32).astype(np.int64))
                 data = row["data"]
                 parts += [data[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
-        if not keys:
-            return
-        key, doc, lo = np.concatenate(keys), np.concatenate(docs), np.concatenate(los)
-        order = np.lexsort((doc, key))
-        k = key[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist() + [len(k)]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def emit(d, p):
-            found.append((d, p))
-
-        small: list = []
-        for x, y in zip(first[:-1], first[1:], strict=True):
-            idx = order[x:y].tolist()
-            _deal([parts[i] for i in idx], doc[idx].tolist(), lo[idx].tolist(), small, emit)
-        compare_blocks(small, emit)
-        if found:
-            d, p = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-            for at in range(0, len(d), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(d[at : at + 100_000]), pa.array(p[at : at + 100_000].astype(np.int32))], names=["doc_id", "at"])
-
-    return packed.repartition(tasks, "bucket").mapInArrow(run, "doc_id long, at int")
-
-
-def _deal(texts: list[bytes], docs: list[int], places: list[int], small: list, emit) -> None:
+            key, doc, no, lo = (np.concatenate(x) for x in (keys, docs, nos, los))
+            # a row's number stands for it below, in the order of the ids
+            ids, rank = np.unique(doc, return_inverse=True)
+            place = lo.tolist()
+            order = np.lexsort((doc, key))
+            k = key[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist() + [len(k)]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            many = int(no.max()) + 1 if len(no) else 1
+
+            def emit(d, p):
+                found.append((d, p))
+
+            small: list = []
+            who = (rank * many + no).tolist()  # document first, then its text's number
+            for x, y in zip(first[:-1], first[1:], strict=True):
+                idx = order[x:y].tolist()
+                _deal([parts[i] for i in idx], [who[i] for i in idx], [place[i] for i in idx], many, small, emit)
+            compare_blocks(small, many, emit)
+            if found:
+                d, p = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+                for at in range(0, len(d), 100_000):
+                    to = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d[to] // many]), pa.array((d[to] % many).astype(np.int32)), pa.array(p[to].astype(np.int32))], names=["doc_id", "no", "at"])
+
+    return packed.mapInArrow(run, "doc_id long, no int, at int")
+
+
+def _deal(texts: list[bytes], docs: list[int], places: list[int], many: int, small: list, emit) -> None:
     """Small groups go to the suffix arrays as they are; large ones are cut until they are small."""
     if sum(map(len, texts)) + len(texts) <= BLOCK or len(texts) == 1:
         small.append((texts, docs, places))
         return
     rows = _FINDER.find(texts)
     anchor = rows[5][np.searchsorted(rows[0], np.arange(len(texts)))].tolist()  # the strings of a context have one anchor
-    _cut(list(zip(texts, docs, places, anchor, strict=True)), 0, LENGTH - CORE, small, emit)
+    _cut(list(zip(texts, docs, places, anchor, strict=True)), 0, LENGTH - CORE, many, small, emit)
 
 
-def _cut(members: list[tuple], near: int, far: int, small: list, emit) -> None:
+def _cut(members: list[tuple], near: int, far: int, many: int, small: list, emit) -> None:
     """Strings that start near..far bytes before the anchor, in groups by the bytes that all of these strings share."""
     groups: dict[bytes, list[tuple]] = {}
     for t, d, p, a in members:
@@ -372,18 +425,18 @@ def _cut(members: list[tuple], near: int, far: int, small: list, emit) -> None:
         if hi - lo >= LENGTH:
             groups.setdefault(t[a - near : a - far + LENGTH], []).append((t[lo:hi], d, p + lo, a - lo))
     for group in groups.values():
-        if len({d for _, d, _, _ in group}) == 1:
+        if len({d // many for _, d, _, _ in group}) == 1:
             continue
         if near == far:  # the shared bytes are the string itself
-            least = min(d for _, d, _, _ in group)
-            rest = [(d, p) for _, d, p, _ in group if d > least]
+            least = min(d // many for _, d, _, _ in group)
+            rest = [(d, p) for _, d, p, _ in group if d // many > least]
             emit(np.array([d for d, _ in rest], np.int64), np.array([p for _, p in rest], np.int64))
         elif sum(len(t) + 1 for t, _, _, _ in group) <= BLOCK:
             small.append(tuple([list(x) for x in zip(*((t, d, p) for t, d, p, _ in group), strict=True)]))
         else:
             middle = (near + far) // 2
-            _cut(group, near, middle, small, emit)
-            _cut(group, middle + 1, far, small, emit)
+            _cut(group, near, middle, many, small, emit)
+            _cut(group, middle + 1, far, many, small, emit)
 
 
 def _merge(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -396,27 +449,39 @@ def _merge(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with ``no``: 0, but where an id has several texts each of these has a number of its own."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id")
+    if not several.limit(1).count():
+        return docs.withColumn("no", F.lit(0))
+    texts = docs.join(several, "doc_id").select("doc_id", mark.alias("mark")).distinct()
+    numbers = texts.withColumn("no", F.row_number().over(Window.partitionBy("doc_id").orderBy("mark")))
+    marked = docs.withColumn("mark", mark).join(numbers, ["doc_id", "mark"], "left")
+    return marked.select("doc_id", "text", F.coalesce("no", F.lit(0)).alias("no"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): for each document with any, the packed spans lo << 32 | hi that smaller documents cover."""
+    """(doc_id, no, spans) from (doc_id, no, text): the packed spans lo << 32 | hi that smaller documents cover, if any."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slices = Slices(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs))
     small_batches(spark)
     packed_span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-    plan = (
-        settle(packed_anchors(docs, buckets), tasks)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
-        .checkpoint()
-    )
-    asked = plan.where(F.size("ask") > 0).select("doc_id", "ask")
-    more = compare(contexts(docs.where("doc_id is not null and text is not null"), asked, buckets), tasks).groupBy("doc_id").agg(F.collect_list("at").alias("more")).checkpoint()
+    with tidy_shuffles(spark):
+        plan = (
+            settle(slices.deal(packed_anchors(docs, slices)))
+            .groupBy("doc_id", "no")
+            .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
+            .checkpoint()
+        )
+        asked = plan.where(F.size("ask") > 0).select("doc_id", "no", "ask")
+        more = compare(slices.deal(contexts(docs.where("doc_id is not null and text is not null"), asked, slices))).groupBy("doc_id", "no").agg(F.collect_list("at").alias("more")).checkpoint()
     whole = F.transform("more", lambda at: F.shiftleft(at.cast("long"), 32).bitwiseOR(at.cast("long") + F.lit(LENGTH)))
-    both = plan.select("doc_id", "done").join(more, "doc_id", "full")
+    both = plan.select("doc_id", "no", "done").join(more, ["doc_id", "no"], "full")
     none = F.array().cast("array<bigint>")
-    return both.select("doc_id", F.concat(F.coalesce("done", none), F.coalesce(whole, none)).alias("spans")).where(F.size("spans") > 0)
+    return both.select("doc_id", "no", F.concat(F.coalesce("done", none), F.coalesce(whole, none)).alias("spans")).where(F.size("spans") > 0)
 
 
 def _spans(packed: list[int] | None) -> list[tuple[int, int]]:
@@ -435,10 +500,16 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with covered bytes removed from their texts; torn characters go with them."""
     cols = docs.columns
-    rest = repeats(docs).select(F.col("doc_id").alias("sd_doc"), F.col("spans").alias("sd_spans"))
-    joined = docs.join(rest, docs["doc_id"].cast("long") == rest["sd_doc"], "left").drop("sd_doc")
+    numbered = _numbered(docs)
+    rest = repeats(numbered)
+    names = [fresh_name(docs, x) for x in ("sd_doc", "sd_mark", "sd_spans")]
+    found = numbered.where("no > 0").select("doc_id", "no", F.xxhash64("text").alias("mark")).distinct()
+    marks = rest.where("no > 0").join(found, ["doc_id", "no"]).select("doc_id", "mark", "spans").unionByName(rest.where("no = 0").select("doc_id", F.lit(None).cast("long").alias("mark"), "spans"))
+    i, m, s = (F.col(x) for x in names)
+    mine = F.xxhash64(docs["text"].cast("string"))
+    joined = docs.join(marks.toDF(*names), (docs["doc_id"].cast("long") == i) & (m.isNull() | (m == mine)), "left")
     keep = F.udf(lambda t, s: t if t is None or not s else _kept(t.encode(), _spans(s)).decode("utf-8", "ignore"), "string", useArrow=True)
-    return joined.withColumn("text", F.when(F.col("sd_spans").isNull(), F.col("text")).otherwise(keep("text", "sd_spans"))).select(*cols)
+    return joined.withColumn("text", F.when(s.isNull(), F.col("text")).otherwise(keep("text", s))).select(*cols)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
@@ -446,8 +517,8 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = docs.join(repeats(docs), "doc_id", "left").select("doc_id", "text", F.col("spans").alias("packed"))
+    docs = _numbered(docs)
+    joined = docs.join(repeats(docs), ["doc_id", "no"], "left").select("doc_id", "text", F.col("spans").alias("packed"))
 
     def make():
         def f(c):
