@@ -44,6 +44,8 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 PORTION, FLUSH = 1 << 20, 1_500_000
 #: Surplus of a sketch's blocks over those that two similar sets can differ in, as a share; blocks of a fine sketch likewise, as a factor.
 SURPLUS, FINE = 0.3, 2
+#: Bits of a block of the wide sketch.
+BITS = 1 << 31
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -187,21 +189,21 @@ class Bands:
         return max((2 * low) * (100 - self.percent) // (100 + self.percent), (low + min(top, low * 100 // self.percent)) * (100 - self.percent) // (100 + self.percent))
 
 
-def block_contents(sets: Sets, band: np.ndarray, blocks: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_contents(sets: Sets, band: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, weight, content) of each block of each set's sketch for its band; sets of band -1 have none.
 
-    A block's bits are kept as the XOR of a hash for each n-gram's bit, which stands for their content; two n-grams on
-    one bit cancel out, as parity has it. The weight is the number of n-grams that fell into the block.
+    A block has BITS bits, so that unlike n-grams hardly ever meet in one. They are kept as the XOR of a hash for each
+    n-gram's bit, which stands for their content; two n-grams on one bit cancel out, as parity has it. The weight is the
+    number of n-grams that fell into the block.
     """
     blocks = np.where(band < 0, 0, blocks)
     base = np.cumsum(blocks) - blocks
     on = blocks[sets.of] > 0
     s, of = sets.hashes[on], sets.of[on]
-    wide = np.uint64(64) * np.maximum(1, bands.edges[band + 2] // np.maximum(blocks, 1)).astype(np.uint64)  # bits a block, many more than n-grams
     with np.errstate(over="ignore"):
         x = _mix(s ^ (band + 1).astype(np.uint64)[of])
         block = (x >> np.uint64(32)) * blocks.astype(np.uint64)[of] >> np.uint64(32)
-        sig = _mix(block * SEED + (x & np.uint64(0xFFFFFFFF)) % wide[of] + np.uint64(1))
+        sig = _mix((block << np.uint64(32)) + (x & np.uint64(BITS - 1)) + np.uint64(1))
         slot = base[of] + block.astype(np.int64)
         total = int(blocks.sum())
         weight = np.bincount(slot, minlength=total)
@@ -219,7 +221,7 @@ def block_keys(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     own = bands.own(sets.size)
     for band in (np.where(sets.size > 0, own, -1), np.where(sets.size > 0, own - 1, -1)):
         need = np.where(band < 0, 0, bands.bounds[band] + 1)
-        owner, weight, content = block_contents(sets, band, need + np.ceil(SURPLUS * need).astype(np.int64), bands)
+        owner, weight, content = block_contents(sets, band, need + np.ceil(SURPLUS * need).astype(np.int64))
         order = np.lexsort((content, -weight, owner))
         owner, content = owner[order], content[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(need)))[owner]
@@ -402,7 +404,7 @@ def rare_meetings(members: DataFrame, n: int, percent: int) -> DataFrame:
                 own = bands.own(sets.size)
                 for band in (own, own - 1):
                     need = np.where(band < 0, 0, bands.bounds[band] + 1)
-                    owner, _, content = block_contents(sets, band, FINE * need, bands)
+                    owner, _, content = block_contents(sets, band, FINE * need)
                     cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
                     for i in np.flatnonzero(band >= 0).tolist():
                         for k, v in zip(out, (c["cls"][lo + i], c["comp"][lo + i], int(sets.size[i]), int(band[i]), int(need[i]), content[cuts[i] : cuts[i + 1]].view(np.int64), sketch[i]), strict=True):
