@@ -3,6 +3,16 @@ from pyspark.sql import functions as F
 from tracelens.functions import text as T
 from tracelens.operators import corpus
 
+def char_tokens(text, special):
+    """Characters, with special tokens matched longest first."""
+    out, at, names = [], 0, sorted(special, key=len, reverse=True)
+    while at < len(text):
+        hit = next((s for s in names if text.startswith(s, at)), text[at])
+        out.append((hit, at, at + len(hit)))
+        at += len(hit)
+    return out
+
+
 SCHEMA = "id int, messages array<struct<role:string,content:string>>"
 
 
@@ -42,6 +52,23 @@ def test_answer_span_falls_back_to_the_last_occurrence(spark):
     assert r.t[r.s.start : r.s.end] == "Answer" and r.n is None
 
 
+def test_places_in_long_texts_are_found_in_one_pass(spark):
+    import time
+
+    text = "wörd " * 200_000
+    df = spark.createDataFrame([(text, [("user", "wörd wörd"), ("assistant", "wörd")])], "t string, m array<struct<role:string,content:string>>")
+    begun = time.time()
+    o = df.select(T.word_offsets(F.col("t")).alias("o")).first().o
+    assert len(o) == 200_000 and tuple(o[7]) == ("wörd", 35, 39) and time.time() - begun < 60
+    assert [tuple(x) for x in df.select(T.message_spans(F.col("m"), F.col("t")).alias("s")).first().s] == [("user", 0, 9), ("assistant", 10, 14)]
+
+
+def test_a_missing_message_is_an_error(spark):
+    df = spark.createDataFrame([([("assistant", "a"), ("user", "gone")], "<a>")], "m array<struct<role:string,content:string>>, t string")
+    with pytest.raises(Exception, match="lacks a message"):
+        df.select(T.assistant_spans(F.col("m"), F.col("t"))).collect()
+
+
 def test_labels_mask_what_is_outside(spark):
     df = spark.createDataFrame([("ab cd ef",)], "t string").withColumn("o", T.word_offsets(F.col("t")))
     spans = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end")))
@@ -60,7 +87,7 @@ def test_truncate_and_positions(spark):
 def test_names():
     assert T.entropy_table_path("/c/", "Qwen/Qwen3 0.6B") == "/c/cot_entropies__Qwen__Qwen3_0.6B"
     assert T.method_name("simple_mean", "uniform_cr8") == "simple_mean_uniform_cr8"
-    assert T.char_tokens("a<|x|>b", ["<|x|>"]) == [("a", 0, 1), ("<|x|>", 1, 6), ("b", 6, 7)]
+    assert char_tokens("a<|x|>b", ["<|x|>"]) == [("a", 0, 1), ("<|x|>", 1, 6), ("b", 6, 7)]
 
 
 def test_split_is_deterministic_disjoint_and_exact(spark):

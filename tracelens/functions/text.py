@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 OPEN, CLOSE = "<think>", "</think>"
 PLACEHOLDER = "<|slot|>"
@@ -71,22 +73,37 @@ def render(messages: Column, generation_prompt: bool = False) -> Column:
     return F.concat(text, F.lit("<|assistant|>\n")) if generation_prompt else text
 
 
-def message_spans(messages: Column, rendered: Column) -> Column:
-    """array<struct(role, start, end)>: contents found from left to right, 0-based and half-open; start -1 if missing."""
-    empty = F.array().cast("array<struct<role:string,start:int,end:int>>")
+#: Places in a text are found by one pass over it. A fold over an array copies what it has at every step, so its time
+#: grows with the square of the words; an Arrow function over batches of rows does not.
+def _places(name: str):
+    kind = ArrayType(StructType([StructField(name, StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    return lambda f: F.udf(f, kind, useArrow=True)
 
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m["content"], rendered, acc["cursor"] + 1)
-        start, end = at - 1, at - 1 + F.length(m["content"])
-        found = at > 0
-        one = F.struct(m["role"].alias("role"), F.when(found, start).otherwise(F.lit(-1)).cast("int").alias("start"), F.when(found, end).otherwise(F.lit(-1)).cast("int").alias("end"))
-        return F.struct(F.when(found, end).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    return F.aggregate(messages, F.struct(F.lit(0).alias("cursor"), empty.alias("spans")), step)["spans"]
+@_places("role")
+def _spans_of(roles: list[str] | None, contents: list[str] | None, rendered: str | None):
+    if roles is None or rendered is None:
+        return None
+    out, cursor = [], 0
+    for role, content in zip(roles, contents, strict=True):
+        at = -1 if content is None else rendered.find(content, cursor)
+        if at >= 0:
+            cursor = at + len(content)
+        out.append({"role": role, "start": at, "end": cursor if at >= 0 else -1})
+    return out
+
+
+def message_spans(messages: Column, rendered: Column) -> Column:
+    """array<struct(role, start, end)>: contents found from left to right, 0-based and half-open; start -1 if missing."""
+    return _spans_of(F.transform(messages, lambda m: m["role"]), F.transform(messages, lambda m: m["content"]), rendered)
 
 
 def assistant_spans(messages: Column, rendered: Column) -> Column:
-    return F.filter(message_spans(messages, rendered), lambda s: s["role"] == "assistant")
+    """The spans of the assistant's messages; raises where the text lacks one of the messages."""
+    spans = message_spans(messages, rendered)
+    missing = F.raise_error(F.lit("the text lacks a message")).cast("array<struct<role:string,start:int,end:int>>")
+    whole = F.when(F.exists(spans, lambda s: s["start"] < 0), missing).otherwise(spans)
+    return F.filter(whole, lambda s: s["role"] == "assistant")
 
 
 def last_index(text: Column, needle: Column) -> Column:
@@ -106,7 +123,8 @@ def answer_span(messages: Column, rendered: Column, answer: Column) -> Column:
     broken = F.array_position(F.transform(spans, lambda s: s["start"]), F.lit(-1))
     reached = F.when(broken > 0, F.slice(spans, F.lit(1), (broken - 1).cast("int"))).otherwise(spans)
     first = F.try_element_at(F.filter(reached, lambda s: (s["role"] == "assistant") & inside(s)), F.lit(1))
-    near = F.call_function("locate", answer, rendered, first["start"] + 1) - 1
+    # without such a message there is no place to start from, which locate would take for "not found"
+    near = F.when(first.isNotNull(), F.call_function("locate", answer, rendered, first["start"] + 1) - 1)
     start = F.coalesce(near, F.nullif(last_index(rendered, answer), F.lit(-1)))
     return F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.length(answer)).cast("int").alias("end")))
 
@@ -116,18 +134,17 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def word_offsets(text: Column) -> Column:
-    """array<struct(token, start, end)>: words with their half-open places in the text."""
-    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    empty = F.array().cast("array<struct<token:string,start:int,end:int>>")
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+@_places("token")
+def _offsets_of(text: str | None):
+    return None if text is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in _WORD.finditer(text)]
 
-    def step(acc: Column, w: Column) -> Column:
-        start = F.call_function("locate", w, text, acc["cursor"] + 1) - 1
-        end = start + F.length(w)
-        one = F.struct(w.alias("token"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("cursor"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(words, F.struct(F.lit(0).alias("cursor"), empty.alias("out")), step)["out"]
+def word_offsets(text: Column) -> Column:
+    """array<struct(token, start, end)>: words with their half-open places in the text."""
+    return _offsets_of(text)
 
 
 def overlaps(token: Column, spans: Column) -> Column:
@@ -173,14 +190,3 @@ def settled(rows, **columns: Column):
     """
     packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_settled")
     return rows.select("*", packed).select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(f"_settled.{k}").alias(k) for k in columns])
-
-
-
-def char_tokens(text: str, special: list[str]) -> list[tuple[str, int, int]]:
-    """Characters, with special tokens matched longest first: the tokenizer of the tests."""
-    out, at, names = [], 0, sorted(special, key=len, reverse=True)
-    while at < len(text):
-        hit = next((s for s in names if text.startswith(s, at)), text[at])
-        out.append((hit, at, at + len(hit)))
-        at += len(hit)
-    return out

@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _batch_numbers(lengths: list[int] | None, rows: int, tokens: int) -> list[int] | None:
+    if lengths is None:
+        return None
+    out, batch, n, longest = [], 0, 0, 0
+    for x in lengths:
+        if n and (n >= rows or max(longest, x) * (n + 1) > tokens):
+            batch, n, longest = batch + 1, 0, 0
+        n, longest = n + 1, max(longest, x)
+        out.append(batch)
+    return out
+
+
 def greedy_batch_ids(lengths: Column, rows: int, tokens: int) -> Column:
     """Batch numbers of an array of lengths: a batch closes before a row that would pass either limit.
 
     Padded cost is the longest length times the rows. The limit is not tested on an empty batch, so a row above it is
-    alone. Each step depends on the last, so this is a fold over one array.
+    alone. Each step depends on the last, so this is one pass over an array, in Arrow batches of arrays: a fold in SQL
+    would copy its result at every step.
     """
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        longest = F.greatest(acc["longest"], x.cast("long"))
-        full = (acc["n"] > 0) & ((acc["n"] >= rows) | (longest * (acc["n"] + 1) > tokens))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x.cast("long")).otherwise(longest).alias("longest"), F.concat(acc["ids"], F.array(batch)).alias("ids"))
-
-    return F.aggregate(lengths, start, step)["ids"]
+    return F.udf(lambda x: _batch_numbers(x, rows, tokens), "array<int>", useArrow=True)(lengths.cast("array<long>"))
 
 
 def greedy_batches(items: DataFrame, group: str, order: list[str], length: str, rows: int, tokens: int) -> DataFrame:
