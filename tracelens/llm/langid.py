@@ -1,7 +1,8 @@
 """Language identification by rank-order profiles.
 
 A language's profile is the order of its most frequent letter n-grams (1 to 3 letters, words padded with a blank), over
-every training row. A document gets the order of its own most frequent n-grams; its distance to a profile is the sum of
+every training row. Letters are what Unicode's category L has; all else parts words. An n-gram is one number, 21 bits a
+code point, so that numbers sort as the n-grams do and are counted by array operations. A document gets the order of its own most frequent n-grams; its distance to a profile is the sum of
 how far each of them is out of place, with the profile's length for one that is missing. The nearest language wins.
 
 Defined cases: a text that is null or has no letter gives ``und`` with score 0; ties of counts go by n-gram, ties of
@@ -11,9 +12,7 @@ distance by language name; rows without a language are not learned from; without
 
 from __future__ import annotations
 
-import itertools
-import re
-from collections import Counter, defaultdict
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,46 +22,91 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import crc32_mod, map_batches, small_batches, table
 
 PROFILE = 300
-#: Distinct words (training) and words with known n-grams (prediction) that a task keeps before it starts afresh.
-KEEP_WORDS = 500_000
+#: Distinct n-grams of a language that a task gathers in training before it hands them on.
+KEEP_GRAMS = 500_000
 SALTS = 16
+BITS = 21
 
-_WORD = re.compile(r"[^\W\d_]+")
 
+class Grams:
+    """Texts to n-gram numbers; whether a code point is a letter is looked up once a task."""
 
-def grams(word: str) -> list[str]:
-    w = f" {word} "
-    n = len(w)
-    return [*word, *[w[i : i + 2] for i in range(n - 1)], *[w[i : i + 3] for i in range(n - 2)]]
+    def __init__(self):
+        self.letter = np.full(0x110000, -1, np.int8)
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of all n-grams of the text's words, each as often as it occurs."""
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        kind = self.letter[codes]
+        if (kind < 0).any():
+            for k in np.unique(codes[kind < 0]).tolist():
+                self.letter[k] = unicodedata.category(chr(k))[0] == "L"
+            kind = self.letter[codes]
+        on = np.zeros(len(codes) + 2, bool)
+        on[1:-1] = kind
+        keep = on.copy()
+        keep[1:] |= on[:-1]  # of what parts two words, the first sign stays, as a blank
+        keep[:-1] |= on[1:] & ~on[:-1] & ~keep[:-1]
+        where = np.flatnonzero(keep)
+        # a word after several signs has its own blank in front, a word after one shares it
+        c = np.full(len(where), 32, np.int64)
+        letters = on[where]
+        c[letters] = codes[where[letters] - 1]
+        pair = letters[:-1] | letters[1:]
+        high, mid = c << (2 * BITS), c << BITS
+        two = high[:-1] | mid[1:]
+        return np.concatenate([high[letters], two[pair], (two[:-1] | c[2:])[letters[1:-1]]])
+
+
+def number(gram: str) -> int:
+    return sum(ord(c) << BITS * (2 - k) for k, c in enumerate(gram))
+
+
+def name(number: int) -> str:
+    points = (number >> 2 * BITS, number >> BITS & (1 << BITS) - 1, number & (1 << BITS) - 1)
+    return "".join(map(chr, (p for p in points if p)))
+
+
+def counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs."""
+    x = np.sort(numbers)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    return x[first], np.diff(np.r_[first, len(x)])
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all rows with a language: each task counts words, and n-grams of its distinct words."""
+    """(lang, gram, n) over all rows with a language; gram is the n-gram's number."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        words: dict[str, Counter] = {}
-
-        def flush():
-            for one, counts in sorted(words.items()):
-                c: dict[str, int] = defaultdict(int)
-                for w, n in counts.items():
-                    for g in grams(w):
-                        c[g] += n
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
-            words.clear()
+        grams = Grams()
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(parts):
+            g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(g, kind="stable")
+            g, n = g[order], n[order]
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            return g[first], np.add.reduceat(n, first)
+
+        def rows(one, g, n):
+            return pa.RecordBatch.from_arrays([pa.array([one] * len(g)), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
         for b in batches:
+            found: dict[str, list[np.ndarray]] = {}
             for one, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    words.setdefault(one, Counter()).update(_WORD.findall(t.lower()))
-            if sum(map(len, words.values())) > KEEP_WORDS:
-                yield from flush()
-        yield from flush()
+                g = grams.of(t)
+                if len(g):
+                    found.setdefault(one, []).append(g)
+            for one, parts in found.items():
+                held[one] = [merged([*held.get(one, ()), counted(np.concatenate(parts))])]
+                if len(held[one][0][0]) > KEEP_GRAMS:
+                    yield rows(one, *held.pop(one)[0])
+        for one, parts in sorted(held.items()):
+            yield rows(one, *parts[0])
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
@@ -76,53 +120,34 @@ def profiles(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= size)
     out: dict[str, list[str]] = {}
     for row in sorted(top.select("lang", "r", "gram").collect()):
-        out.setdefault(row.lang, []).append(row.gram)
+        out.setdefault(row.lang, []).append(name(row.gram))
     return out
 
 
 class Ranker:
     def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE):
-        self.langs, self.size = sorted(profiles), size
-        self.row: dict[str, int] = {}
-        for one in self.langs:
-            for g in profiles[one]:
-                self.row.setdefault(g, len(self.row))
-        self.ranks = np.full((len(self.row) + 1, len(self.langs)), -1, np.int32)  # the last row: in no profile
+        self.langs, self.size, self.grams = sorted(profiles), size, Grams()
+        self.known = np.unique(np.array([number(g) for one in self.langs for g in profiles[one]], np.int64))
+        self.ranks = np.full((len(self.known) + 1, len(self.langs)), -1, np.int32)  # the last row: in no profile
         for k, one in enumerate(self.langs):
-            for r, g in enumerate(profiles[one]):
-                self.ranks[self.row[g], k] = r
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-        self.number: dict[str, int] = {}
-        self.gram: list[str] = []
-
-    def order(self, words: list[str]) -> list[str]:
-        """The text's most frequent n-grams: counts by number, names only for those that can be among them."""
-        if len(self.known) > KEEP_WORDS:
-            self._forget()
-        known, number, gram = self.known, self.number, self.gram
-        new = number.setdefault
-        for w in set(words).difference(known):
-            known[w] = np.array([new(g, len(number)) for g in grams(w)], np.int32)
-        gram += itertools.islice(number, len(gram), None)
-        c = np.bincount(np.concatenate([known[w] for w in words]))
-        found = np.flatnonzero(c)
-        if len(found) > self.size:
-            n = c[found]
-            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
-            found = found[n >= least]
-        pairs = sorted(zip((-c[found]).tolist(), [gram[k] for k in found.tolist()], strict=True))
-        return [g for _, g in pairs[: self.size]]
+            self.ranks[np.searchsorted(self.known, [number(g) for g in profiles[one]]), k] = np.arange(len(profiles[one]))
+
+    def order(self, numbers: np.ndarray) -> np.ndarray:
+        """The text's most frequent n-grams, by count and then by name."""
+        g, n = counted(numbers)
+        if len(g) > self.size:
+            near = n >= np.partition(n, len(n) - self.size)[len(n) - self.size]
+            g, n = g[near], n[near]
+        return g[np.argsort(-n, kind="stable")][: self.size]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        numbers = self.grams.of(text)
+        if not len(numbers) or not self.langs:
             return "und", 0.0
-        own = self.order(words)
-        last = len(self.row)
-        ranks = self.ranks[[self.row.get(g, last) for g in own]]
+        own = self.order(numbers)
+        at = np.searchsorted(self.known, own)
+        at[at == len(self.known)] = 0
+        ranks = self.ranks[np.where(self.known[at] == own, at, len(self.known))]
         d = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
         best = int(d.argmin())
         worst = self.size * len(own)
