@@ -1,12 +1,15 @@
 """Media columns: bytes stored as MPEG transport streams and read back.
 
 Writing wraps the payload in access units, one PES packet each, with a presentation time stamp; a program association
-table and a program map table precede every random-access point. Reading parses the tables, checks the continuity
-counters, reassembles the elementary packets and lists time stamps with their random-access flags.
+table and a program map table precede every random-access point, which carries the program's clock. Reading parses the
+tables, which may go over several packets, checks the continuity counters, reassembles the elementary packets and lists
+time stamps with their random-access flags. A packet sent twice counts once, null packets are passed over, and a PES
+packet without a length ends where the next one begins.
 
 Defined cases: a null text is the empty text; the payload is padded with zero bytes to a positive multiple of 64; equal
-texts give equal streams; an empty table gives an empty result; repeated rows each have theirs. A stream that breaks the
-format (sync byte, missing table, counter gap, short packet) raises ValueError in ``read_stream``.
+texts give equal streams; texts of any length are stored whole, and time stamps start again at 2**33 as the format has
+it; an empty table gives an empty result; repeated rows each have theirs; other columns are ignored. A stream that
+breaks the format (sync byte, missing table, counter gap, short packet) raises ValueError in ``read_stream``.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from tracelens.llm.common import map_batches, table
 
 # Fixed values of the transport-stream format (ISO/IEC 13818-1) and of this writer.
 PACKET, SYNC = 188, 0x47
-PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x0100, 0x0101
+PAT_PID, PMT_PID, DATA_PID, NULL_PID = 0x0000, 0x0100, 0x0101, 0x1FFF
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data in PES packets, private_stream_1
 UNIT, RAP_EVERY, TICKS = 4096, 8, 3003  # bytes an access unit, units between random-access points, 90 kHz ticks a unit
 
@@ -58,12 +61,18 @@ _HEADS = {start: [struct.pack(">BHB", SYNC, (0x4000 if start else 0) | DATA_PID,
 _HEADS_AF = {start: [struct.pack(">BHB", SYNC, (0x4000 if start else 0) | DATA_PID, 0x30 | cc) for cc in range(16)] for start in (False, True)}
 
 
-def _adaptation(size: int, rap: bool) -> bytes:
-    """An adaptation field of `size` bytes in all, its length byte included."""
-    return b"\x00" if size == 1 else bytes((size - 1, 0x40 if rap else 0x00)) + b"\xff" * (size - 2)
+def _adaptation(size: int, pcr: int | None) -> bytes:
+    """An adaptation field of `size` bytes in all, its length byte included; with a clock it marks a random-access point."""
+    if size == 1:
+        return b"\x00"
+    if pcr is None:
+        return bytes((size - 1, 0x00)) + b"\xff" * (size - 2)
+    clock = ((pcr & (1 << 33) - 1) << 15 | 0x3F << 9).to_bytes(6)  # 33 bits of base, 6 reserved, extension 0
+    return (bytes((size - 1, 0x50)) + clock).ljust(size, b"\xff")
 
 
-def write_stream(payload: bytes) -> bytes:
+def write_stream(payload: bytes, first: int = 0) -> bytes:
+    """The payload as access units; ``first`` is the number of the first one on the clock."""
     out, cc, tables = [], 0, 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
         rap = k % RAP_EVERY == 0
@@ -71,18 +80,19 @@ def write_stream(payload: bytes) -> bytes:
             out += [_table_packet(PAT_PID, _PAT, tables), _table_packet(PMT_PID, _PMT, tables)]
             tables += 1
         unit = payload[at : at + UNIT]
-        pes = struct.pack(">BBBBHBBB", 0, 0, 1, STREAM_ID, len(unit) + 8, 0x84, 0x80, 5) + _pts_bytes(k * TICKS & (1 << 33) - 1) + unit
-        # the first packet has an adaptation field with the random-access flag, later ones only where bytes are missing
-        room = PACKET - 4 - 2
-        field_size = 2 + max(0, room - len(pes))
-        out += [_HEADS_AF[True][cc], _adaptation(field_size, rap), pes[:room]]
+        stamp = (first + k) * TICKS & (1 << 33) - 1
+        pes = struct.pack(">BBBBHBBB", 0, 0, 1, STREAM_ID, len(unit) + 8, 0x84, 0x80, 5) + _pts_bytes(stamp) + unit
+        # the first packet has an adaptation field, with the clock at a random-access point; later ones only where bytes are missing
+        least = 8 if rap else 2
+        room = PACKET - 4 - least
+        out += [_HEADS_AF[True][cc], _adaptation(least + max(0, room - len(pes)), stamp if rap else None), pes[:room]]
         cc, done = cc + 1 & 15, room
         while done < len(pes):
             part = pes[done : done + 184]
             if len(part) == 184:
                 out += [_HEADS[False][cc], part]
             else:
-                out += [_HEADS_AF[False][cc], _adaptation(184 - len(part), False), part]
+                out += [_HEADS_AF[False][cc], _adaptation(184 - len(part), None), part]
             cc, done = cc + 1 & 15, done + 184
     return b"".join(out)
 
@@ -95,15 +105,6 @@ class Stream:
     program: dict[int, int] = field(default_factory=dict)  # elementary pid: stream type
 
 
-def _psi(packet: bytes, start: int, table_id: int) -> bytes:
-    at = start + 1 + packet[start]
-    size = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + size]
-    if section[0] != table_id or crc32_cached(section):
-        raise ValueError("damaged program table")
-    return section
-
-
 _CRC: dict[bytes, int] = {}
 
 
@@ -115,18 +116,44 @@ def crc32_cached(section: bytes) -> int:
     return _CRC[section]
 
 
+class _Tables:
+    """Sections of one PID, put together over packets."""
+
+    def __init__(self, table_id: int):
+        self.table_id, self.held = table_id, b""
+
+    def feed(self, data: bytes, start: bool) -> bytes | None:
+        """The section that the packet's payload completes, if any."""
+        if start:
+            self.held = data[1 + data[0] :]
+        elif self.held:
+            self.held += data
+        if len(self.held) < 3:
+            return None
+        size = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+        if len(self.held) < size:
+            return None
+        section, self.held = self.held[:size], b""
+        if section[0] != self.table_id or crc32_cached(section):
+            raise ValueError("damaged program table")
+        return section
+
+
 def read_stream(media: bytes) -> Stream:
     if len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     s, pmt_pid, seen, parts, rap, chunks = Stream(), None, {}, None, False, []
     s.packets = len(media) // PACKET
+    pat, pmt = _Tables(0x00), _Tables(0x02)
 
     def close():
         if parts is None:
             return
         pes = b"".join(parts)
+        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
+            raise ValueError("damaged elementary packet")
         size = pes[4] << 8 | pes[5]
-        if pes[:3] != b"\x00\x00\x01" or len(pes) != size + 6 or not pes[7] & 0x80:
+        if size and len(pes) != size + 6 or not pes[7] & 0x80 or len(pes) < 9 + pes[8]:
             raise ValueError("damaged elementary packet")
         p = pes[9:14]
         pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1
@@ -139,9 +166,17 @@ def read_stream(media: bytes) -> Stream:
         if sync != SYNC:
             raise ValueError("lost sync")
         pid, cc, body = (b1 & 0x1F) << 8 | b2, b3 & 15, at + 4
-        if b3 & 0x10 and seen.get(pid, cc - 1 & 15) != (cc - 1 & 15):
-            raise ValueError("continuity counter gap")
-        seen[pid] = cc
+        if pid == NULL_PID:
+            continue
+        if b3 & 0x10:
+            before = seen.get(pid)
+            if before is not None:
+                if cc == before[0] and media[at : at + PACKET] == media[before[1] : before[1] + PACKET] and not before[2]:
+                    seen[pid] = (cc, before[1], True)  # the format allows a packet twice, and no more
+                    continue
+                if cc != before[0] + 1 & 15:
+                    raise ValueError("continuity counter gap")
+            seen[pid] = (cc, at, False)
         flag = False
         if b3 & 0x20:
             size = media[body]
@@ -150,14 +185,16 @@ def read_stream(media: bytes) -> Stream:
         if not b3 & 0x10:
             continue
         if pid == PAT_PID:
-            section = _psi(media[at : at + PACKET], body - at, 0x00)
-            pmt_pid = (section[10] & 0x1F) << 8 | section[11]
+            section = pat.feed(media[body : at + PACKET], bool(b1 & 0x40))
+            if section:
+                pmt_pid = (section[10] & 0x1F) << 8 | section[11]
         elif pid == pmt_pid:
-            section = _psi(media[at : at + PACKET], body - at, 0x02)
-            i = 12 + ((section[10] & 0x0F) << 8 | section[11])
-            while i < len(section) - 4:
-                s.program[(section[i + 1] & 0x1F) << 8 | section[i + 2]] = section[i]
-                i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
+            section = pmt.feed(media[body : at + PACKET], bool(b1 & 0x40))
+            if section:
+                i = 12 + ((section[10] & 0x0F) << 8 | section[11])
+                while i < len(section) - 4:
+                    s.program[(section[i + 1] & 0x1F) << 8 | section[i + 2]] = section[i]
+                    i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
         elif pid in s.program:
             if b1 & 0x40:
                 close()
@@ -212,4 +249,4 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op4_media_ts(spark, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents"))).drop("pts", "random_access")
+    return features(store(table(spark, sf_dir, "documents")))
