@@ -7,8 +7,8 @@ their own length, so that they do not shorten the shifts of the others.
 
 Defined cases: null or wordless texts have no words and hit nothing; items without words have no window; an empty
 benchmark leaves every document clean; items with a null id hit as any other, and all of them together are one null at
-the end of item_ids, which n_items counts and items_sha256 passes over; repeated rows each get their own result; other columns are
-ignored.
+the end of item_ids, which n_items counts and items_sha256 passes over; repeated rows each get their own result, and so
+do rows without an id; other columns are ignored, and pass ``keep_clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import filter_texts, map_batches, table
+from tracelens.llm.common import filter_texts, fresh_name, map_batches, table
 
 WINDOW = 13
 #: The benchmark goes to the tasks in blocks of at most this many bytes of text; each block is one pass.
@@ -107,8 +107,8 @@ def _blocks(benchmark: DataFrame):
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids) for each document; item_ids sorted.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_mark: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, item_ids) for each document; item_ids sorted. ``with_mark`` adds xxhash64 of the text.
 
     A benchmark within BLOCK_BYTES is searched in one pass without a shuffle. A larger one is searched block by block:
     hit words are then returned as positions and united per document.
@@ -138,20 +138,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     if second is None:
         return map_batches(cols, counter(first), DDL, binary=("text",))
 
-    keyed = cols.withColumn("row", F.monotonically_increasing_id())
+    # a text is known by its id and a hash, which stay the same when lost tasks run again; rows alike have one result
+    keyed = cols.withColumn("mark", F.xxhash64("text"))
 
     def marker(block):
         def make():
             searchers = compile_windows(block, window)
 
             def f(c):
-                out = {"doc_id": c["doc_id"], "row": c["row"], "n_words": [], "pos": [], "item_ids": []}
-                for t in c["text"]:
-                    words = words_of(t)
-                    hit, items = scan(words, searchers)
-                    out["n_words"].append(len(words))
-                    out["pos"].append([i for i, x in enumerate(hit) if x])
-                    out["item_ids"].append(in_order(items))
+                out = {"doc_id": [], "mark": [], "pos": [], "item_ids": []}
+                for i, mark, t in zip(c["doc_id"], c["mark"], c["text"], strict=True):
+                    hit, items = scan(words_of(t), searchers)
+                    if items:  # texts without a hit send nothing
+                        out["doc_id"].append(i)
+                        out["mark"].append(mark)
+                        out["pos"].append([k for k, x in enumerate(hit) if x])
+                        out["item_ids"].append(in_order(items))
                 return out
 
             return f
@@ -160,10 +162,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     parts = None
     for block in itertools.chain([first, second], blocks):
-        one = map_batches(keyed, marker(block), "doc_id long, row long, n_words long, pos array<int>, item_ids array<string>", binary=("text",))
+        one = map_batches(keyed, marker(block), "doc_id long, mark long, pos array<int>, item_ids array<string>", binary=("text",))
         parts = one if parts is None else parts.unionByName(one)
-    united = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return united.select("doc_id", "n_words", "n_hit", "item_ids")
+    united = parts.groupBy(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    counted = keyed.select("doc_id", "mark", word_count(F.col("text")).alias("n_words"))
+    joined = counted.join(united, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), *([F.col("mark")] if with_mark else []))
+
+
+def word_count(text: Column) -> Column:
+    """Words by the rule of ``words_of``; case does not part words."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:
@@ -175,8 +184,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     blocks = _blocks(benchmark)
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
-        bad = decontaminate(docs, benchmark, window).where(is_contaminated()).select(F.col("doc_id").alias("dc_doc")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["dc_doc"], "left_anti")
+        i, m = fresh_name(docs, "dc_doc"), fresh_name(docs, "dc_mark")
+        bad = decontaminate(docs, benchmark, window, True).where(is_contaminated()).select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct()
+        return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[i]) & (F.xxhash64(docs["text"].cast("string")) == bad[m]), "left_anti")
 
     def make():
         searchers = compile_windows(first, window)
