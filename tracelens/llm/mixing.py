@@ -5,8 +5,9 @@ target over the size is the source's repetition rate, and each document is emitt
 drawn by a hash of its id with probability equal to the fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; an empty table gives an
-empty result; repeated rows each get the copies of their id; sources of size 0 have target and rate 0. Columns beyond
-those named pass through ``mix`` untouched.
+empty result; repeated rows each get the copies of their id; sources of size 0 have target and rate 0; texts of any
+length are counted as a whole. All columns pass through ``mix`` and ``emit`` untouched: where one has the name of a
+column that is added, the added one's name ends in an underscore.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.llm.common import fresh_name
 from tracelens.session import ensure_checkpoint_dir
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -69,32 +71,38 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 17, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies added.
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies added at the end.
 
     The rates have one row a source. They are cut off with a checkpoint, counted, and broadcast only if there are at
     most BROADCAST_ROWS of them; otherwise the documents are salted, so that a hot source meets its rate in many tasks.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    sized = docs.withColumn("mix_size", word_count(F.col(text)))
+    n_size, n_total, n_target, n_rate, n_copies = (fresh_name(docs, x) for x in ADDED)
+    key, salt, mine = (fresh_name(docs, x) for x in ("mix_source", "mix_salt", "mix_mine"))
+    sized = docs.withColumn(n_size, word_count(F.col(text)))
     rates = source_rates(docs.select(F.col(source).alias("s"), word_count(F.col(text)).alias("n")), "s", "n", weights).checkpoint()
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
+    rates = rates.select(F.col("source").alias(key), F.col("source_size").alias(n_total), F.col("target").alias(n_target), F.col("rate").alias(n_rate))
     if rates.count() <= BROADCAST_ROWS:
-        joined = sized.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("mix_source")))
+        joined = sized.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col(key)))
     else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        mine = sized.withColumn("mix_mine", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int"))
-        joined = mine.join(salted, F.col(source).eqNullSafe(F.col("mix_source")) & (F.col("mix_mine") == F.col("mix_salt"))).drop("mix_mine", "mix_salt")
-    base = F.floor("mix_rate")
-    copies = base + F.when(uniform(F.col(doc_id), seed) < F.col("mix_rate") - base, 1).otherwise(0)
-    return joined.drop("mix_source").withColumn("mix_copies", copies.cast("long"))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = sized.withColumn(mine, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, F.col(source).eqNullSafe(F.col(key)) & (F.col(mine) == F.col(salt))).drop(mine, salt)
+    base = F.floor(n_rate)
+    copies = base + F.when(uniform(F.col(doc_id), seed) < F.col(n_rate) - base, 1).otherwise(0)
+    return joined.drop(key).withColumn(n_copies, copies.cast("long"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document once a copy, with mix_copy from 1."""
-    cols = docs.columns
-    return mix(docs, **options).where("mix_copies > 0").select(*[F.col(c) for c in cols], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy"))
+    mixed = mix(docs, **options)
+    copies = F.col(mixed.columns[-1])
+    return mixed.where(copies > 0).select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(fresh_name(docs, "mix_copy")))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
