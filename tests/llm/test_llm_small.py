@@ -217,6 +217,8 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.decontaminate(docs(spark, list(enumerate(texts))), bench).collect()}
     assert got == {i: brute_hits(t, ITEMS) for i, t in enumerate(texts)}
+    named = docs(spark, list(enumerate(texts)) + [(None, rnd(900, 30)), (None, "fine")]).withColumnsRenamed({"score": "dc_doc", "spans": "row"})
+    assert sorted((r.text for r in decontam.keep_clean(named, bench).where("doc_id is null").collect())) == ["fine"]
     kept = {r.doc_id for r in decontam.keep_clean(docs(spark, list(enumerate(texts))), bench).collect()}
     assert kept == {i for i, t in enumerate(texts) for n, h, _ in [brute_hits(t, ITEMS)] if not (h and 20 * h >= n)}
 
@@ -267,6 +269,49 @@ def test_media_damage_is_found():
         media.read_stream(bytes(m))
 
 
+def test_media_reads_what_the_format_allows():
+    payload = media.pad(random.Random(2).randbytes(40_000))
+    m = media.write_stream(payload)
+    packets = [m[i : i + 188] for i in range(0, len(m), 188)]
+    null = bytes((0x47, 0x1F, 0xFF, 0x10)) + b"\xff" * 184
+    assert media.read_stream(b"".join(packets[:3] + packets[2:5] + [null] + packets[5:])).payload == payload
+    with pytest.raises(ValueError):
+        media.read_stream(b"".join(packets[:3] + packets[2:3] * 2 + packets[3:]))
+    # PES packets without a length
+    start = [i for i, x in enumerate(packets) if x[1:3] == b"\x41\x01"]
+    for i in start:
+        at = packets[i].index(b"\x00\x00\x01\xbd", 4)
+        packets[i] = packets[i][: at + 4] + b"\x00\x00" + packets[i][at + 6 :]
+    assert media.read_stream(b"".join(packets)).payload == payload
+    # a program map over two packets: 40 streams without descriptors and that of the data
+    body = media.struct.pack(">HH", 0xE000 | media.DATA_PID, 0xF000) + b"".join(media.struct.pack(">BHH", 6, 0xE000 | pid, 0xF000) for pid in [*range(0x200, 0x228), media.DATA_PID])
+    section = media._section(0x02, 1, body)
+    two = [bytes((0x47, 0x41, 0x00, 0x10)) + b"\x00" + section[:183], (bytes((0x47, 0x01, 0x00, 0x11)) + section[183:]).ljust(188, b"\xff")]
+    one = media.write_stream(payload[:64])
+    s = media.read_stream(one[:188] + b"".join(two) + one[376:])
+    assert s.payload == payload[:64] and len(s.program) == 41
+
+
+def test_media_clock_and_wrap():
+    wrap = (1 << 33) // media.TICKS
+    m = media.write_stream(media.pad(b"x" * 40_000), wrap - 3)
+    s = media.read_stream(m)
+    assert [u[0] for u in s.units] == [(wrap - 3 + k) * media.TICKS % (1 << 33) for k in range(len(s.units))] and s.units[5][0] < s.units[0][0]
+    clocks = []
+    for i in range(0, len(m), 188):
+        if m[i + 3] & 0x20 and m[i + 4] and m[i + 5] & 0x10:
+            assert m[i + 5] & 0x40
+            clocks.append(int.from_bytes(m[i + 6 : i + 12]) >> 15)
+    assert clocks == [u[0] for u in s.units if u[1]]
+
+
+def test_media_query_keeps_time_stamps(spark, tmp_path):
+    docs(spark, [(1, "x" * 300_000), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in media.op4_media_ts(spark, str(tmp_path)).collect()}
+    assert rows[1].pts == [k * media.TICKS for k in range(74)] and rows[1].random_access == [k % 8 == 0 for k in range(74)]
+    assert rows[2].payload_bytes == 64 and rows[2].pts == [0] and rows[2].feature.startswith("packets=3;units=1;random_access=1;")
+
+
 def test_media_edges(spark):
     rows = media.features(media.store(docs(spark, EDGE))).collect()
     assert len(rows) == len(EDGE)
@@ -410,6 +455,25 @@ def test_overlaps_widen_where_boundaries_are_far():
     assert c.count(texts) == c.direct(texts) and c.widened > 0
 
 
+def test_any_text_is_counted_in_proportion():
+    r, c = random.Random(7), tokens.Counter(tokens.tokenizer_path(), huge=50, chunk=60, overlap=4)
+    signs = ["中文，测试。", "abc", "123", " ", "  ", "\n", "'s", "'ll", "!", "?'", "é", "½", "Ⅷ", "\t ", "..", "'", "日本語", "🙂", "ß"]
+    for _ in range(400):
+        t = "".join(r.choice(signs) for _ in range(r.randrange(1, 100)))
+        assert c.resync(t) == c.direct([t])[0], t
+    c = tokens.Counter(tokens.tokenizer_path())
+    for t in ("中文，测试。" * 30_000, "的一是不了人我在有他" * 15_000, "aB3xY9/" * 30_000):
+        c.encoded = 0
+        assert c.resync(t) == c.direct([t])[0] and c.encoded < 4 * len(t)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_get_whole_texts(name):
+    c = tokens.Counter(tokens.tokenizer_path(name), huge=50, chunk=60, overlap=4)
+    texts = [rnd(1, 300), "", None, "Some Words  here", "中文，测试。" * 50]
+    assert not c.parts and c.count(texts) == [c.direct([t])[0] if t else 0 for t in texts]
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 def test_language_profiles(spark):
     en, de = "the cat and the dog were there with them " * 3, "der hund und die katze waren nicht zu hause " * 3
@@ -424,6 +488,43 @@ def test_language_profiles(spark):
     assert langid.profiles(docs(spark, [])) == {}
 
 
+def brute_grams(text):
+    import unicodedata
+
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    out = []
+    for w in words:
+        p = f" {w} "
+        out += [*w, *[p[i : i + 2] for i in range(len(p) - 1)], *[p[i : i + 3] for i in range(len(p) - 2)]]
+    return out
+
+
+def test_language_against_brute_force(spark):
+    from collections import Counter
+
+    r = random.Random(3)
+    letters = "aabbccdeé中½Ⅷ2_ ,\n"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(40)] + [None, "", "½ ² Ⅷ", "x" * 70_000, "same", "same"]
+    g = langid.Grams()
+    for t in texts:
+        assert Counter(map(langid.name, g.of(t).tolist())) == Counter(brute_grams(t))
+    rows = [(k, t, "abc"[k % 3] if k % 4 else None) for k, t in enumerate(texts)]
+    got = langid.profiles(docs(spark, rows), 20)
+    counts = {}
+    for _, t, one in rows:
+        if one:
+            counts.setdefault(one, Counter()).update(brute_grams(t))
+    assert got == {one: sorted(c, key=lambda x: (-c[x], x))[:20] for one, c in counts.items()}
+    want = []
+    for k, t, _ in rows:
+        own = Counter(brute_grams(t))
+        own = sorted(own, key=lambda x: (-own[x], x))[:20]
+        d = sorted((sum(abs(i - got[one].index(x)) if x in got[one] else 20 for i, x in enumerate(own)), one) for one in got)
+        want.append((k, d[0][1], (d[1][0] - d[0][0]) / d[1][0] if d[1][0] else 0.0) if own else (k, "und", 0.0))
+    found = langid.identify(docs(spark, rows).withColumnRenamed("spans", "lang_pred"), got, 20).collect()
+    assert sorted(map(tuple, found)) == want
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------
 def test_warc_derivatives(spark):
     page = '<html lang="en"><head><title>A &amp; B</title><script>x<y</script></head><body><a href="/q?a=1&amp;b=2">go</a><p>One<br>two &lt;3<!-- no --></body></html>'
@@ -480,6 +581,11 @@ def test_mixing_targets_and_copies(spark, monkeypatch, broadcast):
         assert abs(got - want[s]) <= 0.25 * want[s]
     copies_ = mixing.emit(docs(spark, rows))
     assert copies_.count() == sum(x.mix_copies for x in out) and copies_.columns[-1] == "mix_copy"
+    named = docs(spark, rows).withColumnsRenamed({"lang": "mix_size", "score": "mix_source", "spans": "mix_copy"})
+    again = mixing.mix(named).collect()
+    assert sorted((x.doc_id, x.mix_size_, x.mix_copies) for x in again) == sorted((x.doc_id, x.mix_size, x.mix_copies) for x in out)
+    assert all((x.mix_size, x.mix_source, x.mix_copy) == ("en" if x.doc_id < 9000 else None, "x", "y") for x in again)
+    assert mixing.emit(named).columns == [*named.columns, "mix_copy_"]
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
