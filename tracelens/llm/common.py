@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows in one Arrow batch. Texts average a few KB and may be far longer, so batches are kept small.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch. Texts average a few KB and may be far longer, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, and with them a Python worker's memory."""
+    """Bound an Arrow batch by rows and bytes, and with it the memory of a Python worker and of the JVM beside it.
+
+    Spark reads these settings when the plan runs, which may be in the caller's hands, so they stay set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def schema_of(ddl: str) -> StructType:

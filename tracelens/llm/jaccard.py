@@ -44,6 +44,8 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 PORTION, FLUSH = 1 << 20, 1_500_000
 #: Surplus of a sketch's blocks over those that two similar sets can differ in, as a share; blocks of a fine sketch likewise, as a factor.
 SURPLUS, FINE = 0.3, 2
+#: Texts to fetch, three numbers each, that are broadcast to the scan at most: a few MB.
+BROADCAST_ROWS = 100_000
 #: Bits of a block of the wide sketch.
 BITS = 1 << 31
 
@@ -488,7 +490,10 @@ def linked_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
         wanted = met.select("cls").distinct()
         shared = member.where("cls >= 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
         known = tables.keep(shared.join(wanted, "cls").select("cls", "row.*", "n", "sketch"), "known")
-        texts = tables.keep(rows.join(known.select("cls", F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))).select("cls", "text").dropDuplicates(["cls"]), "texts")
+        places = known.select("cls", F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+        if known.count() <= BROADCAST_ROWS:  # beyond it the texts are shuffled
+            places = F.broadcast(places)
+        texts = tables.keep(rows.join(places, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))).select("cls", "text").dropDuplicates(["cls"]), "texts")
 
         star = met.where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
         near = tables.keep(near_by_sketch(star, known, percent), "near")

@@ -39,9 +39,9 @@ from tracelens.session import ensure_checkpoint_dir
 
 LENGTH, CORE = 50, 20
 #: Anchors that a task gathers before it hands them to the shuffle; bytes of a suffix array at most; bytes sorted in step.
-FLUSH, BLOCK, IN_STEP = 600_000, 32_768, 1 << 20
+FLUSH, BLOCK, IN_STEP = 400_000, 32_768, 1 << 20
 #: Bytes of text whose anchors are found at once (places have 24 bits), and bytes of input for each slice of the keys.
-PORTION, SLICE_BYTES = 1 << 19, 2 << 20
+PORTION, SLICE_BYTES = 1 << 19, 1 << 20
 
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E6C63D0876A9A99 | 1)
@@ -200,9 +200,9 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
                         _bytes(key[rows], cuts, full) if sign > 0 else empty,
                         _bytes(ctx[rows], cuts, full) if sign > 0 else empty,
                         _bytes((doc[rows] - base).astype(wide), cuts, full),
-                        _bytes(no[rows].astype(np.int32), cuts, full) if no[rows].any() else empty,
-                        _bytes(lo[rows].astype(np.uint32), cuts, full),
-                        _bytes(span[rows].astype(np.uint8), cuts, full),
+                        _bytes(no[rows], cuts, full) if no[rows].any() else empty,
+                        _bytes(lo[rows], cuts, full),
+                        _bytes(span[rows], cuts, full),
                         pa.array([base if wide is np.uint32 else None] * len(full), pa.int64()),
                     ],
                     names=["bucket", "slice", "keys", "ctx", "docs", "nos", "lo", "span", "base"],
@@ -213,7 +213,7 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
             doc, lo, span, key, ctx, _ = finder.find(batch.column(2).cast(pa.binary()).to_pylist())
             for at in range(0, len(doc), FLUSH):
                 to = slice(at, at + FLUSH)
-                held.append((ids[doc[to]], nos[doc[to]], lo[to], span[to], key[to], ctx[to]))
+                held.append((ids[doc[to]], nos[doc[to]].astype(np.int32), lo[to].astype(np.uint32), span[to].astype(np.uint8), key[to], ctx[to]))
                 count += len(doc[to])
                 if count > FLUSH:
                     yield from flush()
