@@ -533,7 +533,7 @@ def test_warc_derivatives(spark):
     assert len(rows) == 8
     one = {r.record_type: r for r in rows if r.page_id == 1}
     assert one["conversion"].content == "go\nOne\ntwo <3" and "outlink: /q?a=1&b=2" in one["metadata"].content and "title: A & B" in one["metadata"].content
-    ((head, block),) = warc.parse(warc.response("http://a/", page))
+    ((head, block),) = warc.parse(warc.response("http://a/", page, page_id=1))
     assert one["conversion"].refers_to == head["WARC-Record-ID"] and one["metadata"].source_payload_digest == head["WARC-Payload-Digest"] == warc.digest(page.encode())
     for r in rows:
         ((h, b),) = warc.parse(bytes(r.warc))
@@ -545,6 +545,43 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_pages_are_read_without_loss():
+    page = warc.Page
+    assert page("<html><head><title>x</title><body><p>hello world</p><a href=y>z</a>").text == "hello world\nz"
+    assert page("<html><head><title>x</title><body><a href=y>z</a>").title == "x"
+    assert page("<noscript>a<p>b").text == "a\nb" and page("<noscript>a</noscript>b").text == "b"
+    assert page("a<script>b<c</script >d<style>e").text == "a d"
+    assert page("1 < 2 <3 <b>x</b> <").text == "1 < 2 <3 x <" and page("a <b").text == "a <b"
+    assert page("<!-- a > b -->c<!-- d").text == "c" and page("<!DOCTYPE html><?xml ?>c").text == "c"
+    assert page("<HTML LANG='de'><A class=\"x\" HREF = 'q>r'>l</A><a name=n><a href>").links == {"q>r": None, "": None}
+    assert page('<html lang=fr><a href="open>text</a> more').text == "text more"
+    assert page("it's <b>a</b> 'quote'").text == "it's a 'quote'" and page("İ<SCRIPT>x</SCRIPT>İ").text == "İ İ"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href='", '<p x="', "<script>", "<!--", "<noscript>", "<", "&lt;", "</", "<a href=x ", "<a b=\"'\" ", "<title>", " \n", "<a =\""])
+def test_pages_take_time_in_proportion(piece):
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    begun = time.thread_time()
+    warc.Page(text)
+    warc.Page(text + ">")
+    assert time.thread_time() - begun < 8
+
+
+def test_warc_records_that_cannot_be_read(spark):
+    good = warc.response("http://a/", "<p>x", page_id=1)
+    no_digest = warc.re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", good).replace(b"WARC-Type: ", b"WARC-Type:")
+    bad = [b"", None, b"junk", good[:-3], good.replace(b"WARC-Date: ", b"WARC-Date "), good.replace(b"response", b"resource", 1), good.replace(b"Content-Length: ", b"X: "), warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "x"), ("WARC-Date", "y")], b"no headers"), good + good]
+    rows = warc.derivatives(spark.createDataFrame([(k, x and bytearray(x)) for k, x in enumerate([good, no_digest, *bad])], "page_id long, warc binary")).collect()
+    assert [(r.page_id, r.record_type) for r in sorted(rows, key=lambda r: r.page_id) if r.page_id < 2] == [(k, t) for k in (0, 1) for t in ("metadata", "conversion")]
+    assert sorted(r.page_id for r in rows if r.record_type == "error" and r.error) == list(range(2, 2 + len(bad)))
+    meta = next(r for r in rows if r.page_id == 0 and r.record_type == "metadata")
+    assert "http-status: HTTP/1.1 200 OK\r\nhttp-header: Content-Type: text/html; charset=utf-8\r\n" in meta.content
+    ids = [r.record_id for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "v", "x" * 500_000)], "page_id long, url string, html string"))).collect()]
+    assert len(set(ids)) == 6
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------
 def fill(sizes, weights, total, cap=2):
     """The excess reshared by weight, round by round."""
