@@ -1,17 +1,20 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
-A transcript is a sequence of lines. Each line shows one symbol: its speaker marker, if any, with features of the line
-(question or not, length, whether a line precedes it in its paragraph). The hidden state is the speaker's role. Start,
-transition and emission tables come from counts over transcripts with known roles; Viterbi recovers the roles of new
-ones, and lines of one role in a row become a turn.
-
-A conversation may be of any length: its lines are decoded in blocks of rows. A first pass reduces each block to a
-max-plus matrix, a second chains the small matrices of a conversation and fixes the state each block ends in, a third
-traces the block back from there. So no task sees more than a block, or one matrix a block.
-
-Defined cases: null and empty texts are one empty line; rows without a turn number come first, ties go by text; null
-roles teach nothing; without any known role every line is of the first role; an empty table gives an empty result; rows
-repeated are rows of their own; other columns are ignored.
+A raw transcript is a run of lines; where its messages begin and end is not known. Each line shows one symbol: what kind
+of speaker marker it starts with, if any (a word for a system, a user or an assistant, some other name, a quoting sign),
+with features of the line (question or not, length, list or code). The hidden state is the speaker's role. Emission
+tables, a start table and two transition tables, for lines with and without a marker, come from counts over lines of
+known roles; Viterbi recovers the roles of all lines, and a turn begins where the role changes or a marker stands.
+
+A conversation may be of any length. Its rows, in order, are pieces of its transcript. They are sorted by range, so a
+hot conversation goes over many tasks, and cut into blocks by row number. A first pass reduces each block to a max-plus
+matrix, a second chains the small matrices of a conversation and fixes the state each block ends in, a third traces the
+block back from there. So no task sees more than a block at a time, or one matrix a block.
+
+Defined cases: null and empty texts are one empty line; rows without a turn number come first, ties go by text, rows
+repeated in full are rows of their own; null turns or one turn throughout make blocks like any others; rows without a
+conversation are one conversation; null and unknown roles teach nothing; without any known role every line is of the
+first role; an empty table gives an empty result; other columns are ignored. A text is held in memory as a whole.
 """
 
 from __future__ import annotations
@@ -21,128 +24,187 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracelens.llm.common import schema_of, small_batches, table
+from tracelens.llm.common import crc32_mod, schema_of, small_batches, table, tidy_shuffles
+from tracelens.session import ensure_checkpoint_dir
 
 ROLES = ("system", "user", "assistant")
 #: Rows of a conversation in a block.
 BLOCK = 256
 
-# Fixed lists: speaker markers as they stand in transcripts, by the symbol they show.
-MARKERS = {
-    "system": ("system:", "sys:", "[system]", "instructions:", "###"),
-    "user": ("user:", "human:", "q:", "[user]", "you:", ">>"),
-    "assistant": ("assistant:", "ai:", "a:", "[assistant]", "bot:", "<<"),
+# Fixed lists: words that name a speaker's kind, as they stand in transcripts of many sources.
+SPEAKERS = {
+    "system": ("system", "sys", "instruction", "instructions", "context", "setup"),
+    "user": ("user", "human", "q", "question", "customer", "client", "me", "you", "prompter", "input"),
+    "assistant": ("assistant", "ai", "a", "answer", "bot", "gpt", "model", "agent", "support", "output", "response"),
 }
-_MARK = re.compile(r"^\s*(?:" + "|".join(f"(?P<{r}>" + "|".join(map(re.escape, m)) + ")" for r, m in MARKERS.items()) + r")\s*", re.I)
-N_SYMBOLS = 4 * 2 * 3 * 2
+_KIND = {w: 1 + k for k, words in enumerate(SPEAKERS.values()) for w in words}
+OTHER, QUOTE = 4, 5
+_MARK = re.compile(r"\s{0,8}(?:[\[(<*#|]{1,4}\s?([A-Za-z][\w .'-]{0,24}?)\s?[\])>*|]{1,4}:?|([A-Za-z][\w'-]{0,24}(?: [A-Z0-9][\w'-]{0,24})?)\s?:)(?=\s|$)\s{0,8}")
+_QUOTE = re.compile(r"\s{0,8}(?:>{1,3}|-{2,3}|—)\s")
+_ITEM = re.compile(r"\s{0,8}(?:[-*•]|\d{1,3}[.)]|```|    |\t)")
+N_SYMBOLS = 6 * 2 * 3 * 2
+
+
+def symbol(line: str) -> tuple[int, str]:
+    """The line's symbol and its text without a speaker's name. Quoting signs stay: they may belong to the text."""
+    m, mark, rest = _MARK.match(line), 0, line
+    if m:
+        name = (m[1] or m[2]).lower().split()
+        mark = next((_KIND[w.rstrip("s0123456789")] for w in name if w.rstrip("s0123456789") in _KIND), _KIND.get(name[0], OTHER))
+        rest = line[m.end() :]
+    elif _QUOTE.match(line):
+        mark = QUOTE
+    size = 0 if len(rest) < 60 else 1 if len(rest) < 240 else 2
+    return ((mark * 2 + ("?" in rest)) * 3 + size) * 2 + bool(_ITEM.match(rest)), rest
 
 
-def symbol(line: str, first: bool) -> tuple[int, str]:
-    """The line's symbol and its text without the marker. ``first``: a message may begin here."""
-    m = _MARK.match(line)
-    mark = 0 if not m else 1 + ROLES.index(m.lastgroup)
-    rest = line[m.end() :] if m else line
-    size = 0 if len(rest) < 60 else 1 if len(rest) < 240 else 2
-    return ((mark * 2 + ("?" in rest)) * 3 + size) * 2 + bool(first), rest
+def marked(sym: int) -> int:
+    """Whether the line has a speaker's name or a quoting sign in front; it chooses the transition table."""
+    return int(sym >= 12)
 
 
 def symbols(text: str | None) -> tuple[list[int], list[str]]:
-    out = [symbol(x, k == 0) for k, x in enumerate((text or "").split("\n"))]
+    out = [symbol(x) for x in (text or "").split("\n")]
     return [a for a, _ in out], [b for _, b in out]
 
 
-def style_line(conv: Column, turn: Column, role: Column, text: Column) -> Column:
-    """A transcript message: the text after a marker of the style that the conversation's hash picks; every eighth
-    message has none."""
-    h = F.pmod(F.xxhash64(conv.cast("string")), F.lit(5))
-    quiet = F.pmod(F.xxhash64(conv.cast("string"), turn.cast("string")), F.lit(8)) == 0
-    mark = F.lit("")
-    for r, m in MARKERS.items():
-        mark = F.when(role == r, F.element_at(F.array(*[F.lit(x) for x in m[:5]]), (h + 1).cast("int"))).otherwise(mark)
-    shown = F.when(quiet | (mark == ""), F.coalesce(text, F.lit(""))).otherwise(F.concat(mark, F.lit(" "), F.coalesce(text, F.lit(""))))
-    return shown
+#: Ways to name speakers that ``raw_transcripts`` writes, by the conversation's hash: for a user, an assistant and a system.
+STYLES = (("User:", "Assistant:", "System:"), ("**Customer**:", "**Support agent**:", "**Setup**:"), ("Maria:", "Theo:", "Note:"), ("[human 1]", "[bot]", "[context]"), (">", "", ""))
+
 
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): a test corpus of raw transcripts from conversations, piece by piece.
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): messages as they stand in a raw transcript; role is kept for training only."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", style_line(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text").cast("string")).alias("text"))
+    A conversation's hash picks one of STYLES, of which some tell nothing of the role and one marks users' lines alone.
+    A message's name stands in a line of its own or before its text, and two of five messages have none. role is kept
+    for training and for measuring.
+    """
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    style = F.pmod(F.xxhash64(F.lit("style"), conv), F.lit(len(STYLES))).cast("int")
+    how = F.pmod(F.xxhash64(F.lit("mark"), conv, turn), F.lit(5))
+    name = F.lit("")
+    for k, names in enumerate(STYLES):
+        for role, n in zip(("user", "assistant", "system"), names, strict=True):
+            name = F.when((style == k) & (F.col("role") == role), n).otherwise(name)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    shown = F.when((how < 2) | (name == ""), text).when((how == 2) & (name != ">"), F.concat(name, F.lit("\n"), text)).otherwise(F.concat(name, F.lit(" "), text))
+    return conversations.select(conv.alias("conv_id"), turn.alias("turn"), "role", shown.alias("text"))
 
 
 class Hmm:
-    """Log tables: start (roles), step (roles, roles, within or new message), emit (roles, symbols)."""
+    """Log tables: start (roles), step (unmarked or marked line, roles, roles), emit (roles, symbols)."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
+        self.moves = [step[marked(s)] + emit[:, s][None, :] for s in range(N_SYMBOLS)]
 
     def advance(self, sym: int) -> np.ndarray:
         """max-plus matrix of one line: from the role before to the role of this line."""
-        return self.step[sym & 1] + self.emit[:, sym][None, :]
+        return self.moves[sym]
+
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Runs of rows with the same first ``keys`` columns, over batch ends."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+    return itertools.groupby(rows, key=lambda r: r[:keys])
 
-def block_of(turn: Column) -> Column:
-    """The block of a conversation that a turn lies in; a hot conversation is many blocks."""
-    return F.floor(F.coalesce(turn, F.lit(0)) / F.lit(BLOCK)).cast("long")
 
+def _write(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-def successions(messages: DataFrame) -> DataFrame:
-    """One row: s0.. are conversations whose first message has the role, n00.. messages by the role before and their own.
 
-    Pairs within a block are counted there; each block then goes on as one row with its counts and its first and last
-    role, and the last role is passed to the conversation's next block. Null and unknown roles are -1 and in no pair.
-    """
-    k = len(ROLES)
-    role = F.lit(-1)
-    for n, r in enumerate(ROLES):
-        role = F.when(F.col("role") == r, n).otherwise(role)
-    rows = messages.select("conv_id", block_of(F.col("turn")).alias("block"), "turn", F.coalesce("text", F.lit("")).alias("text"), role.alias("r"))
-    w = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "text", "r")
-    pairs = rows.withColumn("before", F.lag("r").over(w)).withColumn("after", F.lead("r").over(w))
-    cells = [(a, b) for a in range(k) for b in range(k)]
-    blocks = pairs.groupBy("conv_id", "block").agg(
-        F.max(F.when(F.col("before").isNull(), F.col("r"))).alias("first"),
-        F.max(F.when(F.col("after").isNull(), F.col("r"))).alias("last"),
-        *[F.count_if((F.col("before") == a) & (F.col("r") == b)).alias(f"n{a}{b}") for a, b in cells],
-    )
-    linked = blocks.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")))
-    return linked.agg(
-        *[F.count_if(F.col("before").isNull() & (F.col("first") == a)).alias(f"s{a}") for a in range(k)],
-        *[(F.coalesce(F.sum(f"n{a}{b}"), F.lit(0)) + F.count_if((F.col("before") == a) & (F.col("first") == b))).alias(f"n{a}{b}") for a, b in cells],
-    )
-
-
-def fit(messages: DataFrame) -> Hmm:
-    """Tables from counts with one added to each, over every message of known role; counts of a fixed number of cells.
-
-    A start is the first message of a conversation; a message after one of unknown role is neither start nor step.
+def _map(df: DataFrame, f, ddl: str) -> DataFrame:
+    schema = schema_of(ddl)
+    arrow = to_arrow_schema(schema)
+    return df.mapInArrow(lambda batches: _write(f(batches), arrow), schema)
+
+
+def _sorted_map(df: DataFrame, by: list[str], order: list, f, ddl: str) -> DataFrame:
+    """f over each key's rows in order: rows are dealt by the keys and sorted."""
+    return _map(df.repartition(*by).sortWithinPartitions(*by, *order), f, ddl)
+
+
+def in_blocks(messages: DataFrame) -> DataFrame:
+    """(conv_id, block, at, turn, role, text): rows in the order of their conversation, numbered within blocks.
+
+    Sorted ranges follow each other, so a block's number is its range's number and its own within that; ranges are drawn
+    by sampling, so the result is to be checkpointed before it is used twice.
     """
 
-    def count(batches):
-        for b in batches:
-            rows = [(ROLES.index(role), s) for role, text in zip(b.role, b.text, strict=True) if role in ROLES for s in symbols(text)[0]]
-            yield pd.DataFrame(rows, columns=["a", "b"]).groupby(["a", "b"], as_index=False).size().rename(columns={"size": "n"}) if rows else pd.DataFrame({"a": [], "b": [], "n": []})
+    def number(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        for (conv,), run in _groups(batches, 1):
+            for k, r in enumerate(run):
+                yield conv, part + k // BLOCK, k % BLOCK, *r[1:]
+
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("text"), F.col("role").asc_nulls_first()]
+    # rows alike in all of these may still be very many: a number of their own deals them to several ranges
+    spread = rows.withColumn("tie", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    return _map(spread.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").drop("tie"), number, "conv_id long, block long, at int, turn long, role string, text string")
 
-    small_batches(messages.sparkSession, 2000)
-    counts = messages.select("role", "text").mapInPandas(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+def count_lines(blocks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, steps, emissions) of the rows of known role where ``learn`` holds, over block ends; counts of a fixed number of cells.
+
+    A step is between two lines in a row of one conversation. Each block goes on as one row with the role it ends in and
+    the role and kind of line it begins with; the last role is passed to the conversation's next block.
+    """
     k = len(ROLES)
-    within, emit = np.eye(k) * 1e6 + 1e-3, np.ones((k, N_SYMBOLS))
-    for row in counts.collect():  # at most 3 * N_SYMBOLS rows
-        emit[row.a, row.b] += row.n
-    (n,) = successions(messages).collect()
-    start = np.array([1.0 + n[f"s{a}"] for a in range(k)])
-    new = np.array([[1.0 + n[f"n{a}{b}"] for b in range(k)] for a in range(k)])
-    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Hmm(log(start), np.stack([log(within), log(new)]), log(emit))
-
-
-def _product(matrices: list[np.ndarray]) -> np.ndarray:
-    out = matrices[0]
-    for m in matrices[1:]:
+
+    def count(batches):
+        cells: dict[tuple, int] = {}
+        for (conv, block), run in _groups(batches, 2):
+            before = first = None
+            for r in run:
+                role = ROLES.index(r[3]) if r[3] in ROLES else -1
+                for s in symbols(r[4])[0]:
+                    if first is None:
+                        first = (role, marked(s))
+                    elif before >= 0 and role >= 0:
+                        cells["s", marked(s), before, role] = cells.get(("s", marked(s), before, role), 0) + 1
+                    if role >= 0:
+                        cells["e", 0, role, s] = cells.get(("e", 0, role, s), 0) + 1
+                    before = role
+            yield "b", conv, block, *first, before, 1
+        for (kind, m, a, b), n in cells.items():
+            yield kind, None, None, a, m, b, n
+
+    rows = _sorted_map(blocks.where(learn).select("conv_id", "block", "at", "role", "text"), ["conv_id", "block"], ["at"], count, "kind string, conv_id long, block long, a int, m int, b int, n long").checkpoint()
+    ends = rows.where("kind = 'b'").withColumn("before", F.lag("b").over(Window.partitionBy("conv_id").orderBy("block")))
+    met = ends.select(F.when(F.col("before").isNull(), "0").otherwise("s").alias("kind"), F.coalesce("before", F.lit(0)).alias("a"), "m", F.col("a").alias("b"), "n").where("a >= 0 and b >= 0")
+    total = rows.where("kind <> 'b'").select("kind", "a", "m", "b", "n").unionByName(met).groupBy("kind", "a", "m", "b").agg(F.sum("n").alias("n"))
+    start, steps, emit = np.zeros(k), np.zeros((2, k, k)), np.zeros((k, N_SYMBOLS))
+    for r in total.collect():  # at most 3 + 18 + 3 * N_SYMBOLS rows
+        if r.kind == "0":
+            start[r.b] += r.n
+        elif r.kind == "s":
+            steps[r.m, r.a, r.b] += r.n
+        else:
+            emit[r.a, r.b] += r.n
+    return start, steps, emit
+
+
+def fit(blocks: DataFrame, learn: Column | None = None) -> Hmm:
+    """Tables from counts with one added to each."""
+    log = lambda x: np.log((x + 1) / (x + 1).sum(axis=-1, keepdims=True))
+    start, steps, emit = count_lines(blocks, F.lit(True) if learn is None else learn)
+    if not emit.any():  # nothing is known: all lines are of the first role
+        return Hmm(np.array([0.0, -1.0, -1.0]), np.zeros((2, 3, 3)) + np.array([0.0, -1.0, -1.0]), np.zeros((3, N_SYMBOLS)))
+    return Hmm(log(start), log(steps), log(emit))
+
+
+def _product(matrices: Iterator[np.ndarray]) -> np.ndarray:
+    out = next(matrices)
+    for m in matrices:
         out = (out[:, :, None] + m[None, :, :]).max(axis=1)
     return out
 
@@ -160,50 +222,33 @@ def viterbi(hmm: Hmm, syms: list[int], enter: np.ndarray, leave: int) -> list[in
     return out[::-1]
 
 
-def render(roles: list[str], lines: list[str]) -> str:
-    """Canonical turns: <|role|>, the lines of that role in a row, <|end|>."""
-    out, k = [], 0
-    while k < len(lines):
-        to = k
-        while to < len(lines) and roles[to] == roles[k]:
-            to += 1
-        out.append(f"<|{roles[k]}|>\n" + "\n".join(lines[k:to]) + "\n<|end|>\n")
-        k = to
-    return "".join(out)
-
+def render(roles: list[str], starts: list[bool], lines: list[str], opening: bool = True, closing: bool = True) -> str:
+    """Canonical turns of a piece of a transcript: <|role|>, the turn's lines, <|end|> before the next one.
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with the same first ``keys`` columns, over batch ends."""
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-    for key, run in itertools.groupby(rows, key=lambda r: r[:keys]):
-        yield key, list(run)
-
-
-def _write(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    while part := list(itertools.islice(rows, size)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-
-
-def _sorted_map(df: DataFrame, by: list[str], order: list, f, ddl: str) -> DataFrame:
-    """f over each key's rows in order: rows are dealt by the keys and sorted; f holds a run of one key at a time."""
-    schema = schema_of(ddl)
-    arrow = to_arrow_schema(schema)
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda batches: _write(f(batches), arrow), schema)
-
-
-def recover(messages: DataFrame, hmm: Hmm) -> DataFrame:
-    """(conv_id, turn, n_lines, roles, rendered) for each message; roles are those of its lines."""
-    small_batches(messages.sparkSession, 2000)
-    rows = messages.select("conv_id", block_of(F.col("turn")).alias("block"), "turn", "text")
-    order = [F.col("turn").asc_nulls_first(), F.coalesce("text", F.lit(""))]
+    ``opening``: the transcript begins with this piece; ``closing``: it ends with it. The pieces' texts in a row are the
+    whole.
+    """
+    out = []
+    for k, (role, start, line) in enumerate(zip(roles, starts, lines, strict=True)):
+        if start:
+            out.append(f"<|{role}|>\n" if opening and k == 0 else f"<|end|>\n<|{role}|>\n")
+        out.append(line + "\n")
+    return "".join(out) + ("<|end|>\n" if closing else "")
+
+
+def recover(blocks: DataFrame, hmm: Hmm) -> DataFrame:
+    """(conv_id, block, at, turn, n_lines, roles, starts, rendered) for each row of ``in_blocks``: the roles of its lines, which of
+    them begin a turn, and its part of the canonical transcript."""
+    small_batches(blocks.sparkSession)
     k = len(ROLES)
 
     def squeeze(batches):
         for key, run in _groups(batches, 2):
-            yield (*key, _product([hmm.advance(s) for r in run for s in symbols(r[3])[0]]).ravel().tolist())
+            yield (*key, _product(hmm.advance(s) for r in run for s in symbols(r[3])[0]).ravel().tolist())
 
     def chain(batches):
         for (conv,), run in _groups(batches, 1):
+            run = list(run)
             enter, scores = [], hmm.start - np.log(k)  # the start table stands for the role before the first line
             matrices = [np.array(r[2]).reshape(k, k) for r in run]
             for m in matrices:
@@ -213,25 +258,54 @@ def recover(messages: DataFrame, hmm: Hmm) -> DataFrame:
             leave = [int(scores.argmax())]
             for m, e in zip(reversed(matrices), reversed(enter), strict=True):
                 leave.append(int((e + m[:, leave[-1]]).argmax()))
-            for r, e, x in zip(run, enter, leave[:-1][::-1], strict=True):
-                yield conv, r[1], e.tolist(), x
+            leave = leave[::-1]  # the role before each block, and of its last line
+            for i, (r, e) in enumerate(zip(run, enter, strict=True)):
+                yield conv, r[1], e.tolist(), leave[i] if i else -1, leave[i + 1], i == len(run) - 1
 
     def trace(batches):
         for _, run in _groups(batches, 2):
-            parts = [symbols(r[3]) for r in run]
-            found, at = viterbi(hmm, [s for syms, _ in parts for s in syms], np.array(run[0][4]), run[0][5]), 0
-            for r, (syms, lines) in zip(run, parts, strict=True):
-                roles = [ROLES[x] for x in found[at : at + len(syms)]]
-                at += len(syms)
-                yield r[0], r[2], len(syms), roles, render(roles, lines)
-
-    matrices = _sorted_map(rows, ["conv_id", "block"], order, squeeze, "conv_id long, block long, matrix array<double>")
-    ends = _sorted_map(matrices, ["conv_id"], ["block"], chain, "conv_id long, block long, enter array<double>, leave int")
-    e = ends.select(F.col("conv_id").alias("e_conv"), F.col("block").alias("e_block"), "enter", "leave")
-    joined = rows.join(e, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block"))).select("conv_id", "block", "turn", "text", "enter", "leave")
-    return _sorted_map(joined, ["conv_id", "block"], order, trace, "conv_id long, turn long, n_lines long, roles array<string>, rendered string")
+            run = list(run)
+            parts = [symbols(r[4]) for r in run]
+            syms = [s for p, _ in parts for s in p]
+            enter, before, leave, last = run[0][5:9]
+            found = viterbi(hmm, syms, np.array(enter), leave)
+            at = 0
+            for i, (r, (own, lines)) in enumerate(zip(run, parts, strict=True)):
+                mine = found[at : at + len(own)]
+                starts = [a != b or 12 <= s < 12 * QUOTE for a, b, s in zip(mine, [before, *mine[:-1]], own, strict=True)]
+                roles = [ROLES[x] for x in mine]
+                yield r[0], r[1], r[2], r[3], len(own), roles, starts, render(roles, starts, lines, before < 0, last and i == len(run) - 1)
+                at, before = at + len(own), mine[-1]
+
+    ends = _sorted_map(
+        _sorted_map(blocks.select("conv_id", "block", "at", "text"), ["conv_id", "block"], ["at"], squeeze, "conv_id long, block long, matrix array<double>"),
+        ["conv_id"], ["block"], chain, "conv_id long, block long, enter array<double>, before int, leave int, last boolean",
+    )
+    e = ends.select(F.col("conv_id").alias("e_conv"), F.col("block").alias("e_block"), "enter", "before", "leave", "last")
+    joined = blocks.join(e, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block"))).select("conv_id", "block", "at", "turn", "text", "enter", "before", "leave", "last")
+    return _sorted_map(joined, ["conv_id", "block"], ["at"], trace, "conv_id long, block long, at int, turn long, n_lines long, roles array<string>, starts array<boolean>, rendered string")
+
+
+def held_out(conv_id: Column) -> Column:
+    """Conversations that no table is counted from."""
+    return crc32_mod(conv_id, 4) == 2
+
+
+def parse_chats(messages: DataFrame, learn: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows as ``recover`` gives them, rows as ``in_blocks`` gives them); tables are counted where ``learn`` holds.
+
+    The rows in blocks are cut off with a checkpoint: ranges drawn anew would be other blocks.
+    """
+    spark = messages.sparkSession
+    ensure_checkpoint_dir(spark)
+    small_batches(spark)
+    with tidy_shuffles(spark):
+        blocks = in_blocks(messages).checkpoint()
+        hmm = fit(blocks, learn)
+    return recover(blocks, hmm), blocks
 
 
 def op10_chat_roles(spark, sf_dir: str) -> DataFrame:
-    messages = transcripts(table(spark, sf_dir, "conversations"))
-    return recover(messages, fit(messages)).withColumn("role", F.element_at("roles", 1)).withColumn("roles", F.concat_ws(",", "roles"))
+    """The pieces of each transcript with the roles of their lines; every fourth conversation is held out of training."""
+    out, _ = parse_chats(raw_transcripts(table(spark, sf_dir, "conversations")), ~held_out(F.col("conv_id")))
+    return out.select("conv_id", "block", "at", "turn", held_out(F.col("conv_id")).alias("held_out"), "n_lines", F.element_at("roles", 1).alias("role"), F.concat_ws(",", "roles").alias("roles"), F.size(F.filter("starts", lambda x: x)).cast("long").alias("n_turns"), "rendered")
