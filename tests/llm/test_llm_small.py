@@ -113,6 +113,35 @@ def test_toxicity_leaves_no_word_unlearned(monkeypatch):
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("letters,bad", [("абвгдежзиклмнопрстуфхцчшщъыьэюя", ["дурак", "подлец", "ослик"]), ("αβγδεζηθικλμνξοπρστυφχψω", ["βλακας", "ηλιθιος", "χαζος"])])
+def test_toxicity_in_other_scripts(letters, bad):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 8)))
+
+    def rows(n):
+        out = []
+        for k in range(n):
+            w = [word() for _ in range(30)]
+            if k % 3 == 0:
+                w[r.randrange(30)] = r.choice(bad)
+            out.append((" ".join(w), int(k % 3 == 0)))
+        return out
+
+    m, kernel = toxicity.train(rows(300)), toxicity.Kernel()
+    test = rows(300)
+    found = [m.probability(m.decide(kernel, toxicity.words_of(t)).max()) >= 0.7 for t, _ in test]
+    assert sum(f for f, (_, y) in zip(found, test) if y) >= 90 and sum(f for f, (_, y) in zip(found, test) if not y) <= 4
+    gapped = [b[:2] + "*" + b[2:] for b in bad] + [b[:3] + b[2:] for b in bad] + [b.upper() for b in bad]
+    assert all(m.probability(m.decide(kernel, toxicity.words_of(g)).max()) >= 0.7 for g in gapped)
+
+
+def test_signs_keep_alphabets_apart():
+    for lo, hi in ((0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x561, 0x584)):
+        plain = {toxicity.unicodedata.normalize("NFD", chr(p))[0] for p in range(lo, hi + 1)}  # without accents
+        assert len({toxicity.sign_of(ord(c)) for c in plain}) == len(plain) >= hi - lo
+    assert [toxicity.sign_of(ord(c)) for c in "aÉ9^!ß"] == [1, 5, 36, 37, 0, 19] and toxicity.sign_of(ord("й")) == toxicity.sign_of(ord("и"))
+
+
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(5)
     for _ in range(60):

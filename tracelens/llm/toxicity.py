@@ -10,6 +10,9 @@ At the kernel's order the machine's decision is a weighted sum over the characte
 word's own norm: landmarks, Nystroem root and weights are multiplied out once after training, which changes nothing in
 the result and lets whole corpora be scored.
 
+Texts of all scripts are scored; scripts without blanks between words are scored by overlapping pieces of 16 signs, as are
+words longer than that.
+
 Defined cases: null and empty texts have no words and get a score next to 0; without
 labels of both kinds every score is 0; a document labelled twice counts as bad if any label says so; repeated rows have
 equal scores; other columns are ignored.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -36,26 +40,24 @@ LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 160, 64, 64
 #: Words whose scores a task keeps.
 KEEP_WORDS = 300_000
 
-# Fixed alphabet: 0 is any other sign, 1-26 letters by their base form, 27-36 digits, 37 the start of a word.
+# Signs: 0 is any sign that is no letter or digit, 1-26 Latin letters by their base form, 27-36 digits, 37 the start of a
+# word. Letters of other scripts go by their base form's code point modulo 36, which keeps the letters of an alphabet
+# apart, as these stand in a row; that they share signs with Latin letters does no harm, as words are of one script.
 SIGNS, START = 38, 37
 _OUTER = re.compile(r"[^\w\s]*\s[^\w]*")
 _INNER = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){2,}\w(?!\w)")
 
 
-def _class_table() -> np.ndarray:
-    import unicodedata
-
-    t = np.zeros(0x250, np.int64)
-    for k in range(len(t)):
-        base = unicodedata.normalize("NFD", chr(k).lower())[0]
-        if "a" <= base <= "z":
-            t[k] = ord(base) - 96
-        elif "0" <= base <= "9":
-            t[k] = ord(base) - 21
-    t[ord("ß")] = ord("s") - 96
-    t[ord("^")] = START
-    return t
+def sign_of(point: int) -> int:
+    base = unicodedata.normalize("NFD", chr(point).lower())[0]
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    if "0" <= base <= "9":
+        return ord(base) - 21
+    if base == "ß":
+        return ord("s") - 96
+    return START if base == "^" else 1 + ord(base) % 36 if base.isalnum() else 0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -86,13 +88,18 @@ def _pieces(words: list[str]) -> tuple[list[str], list[int]]:
 
 class Kernel:
     def __init__(self, decay: float = DECAY):
-        self.decay, self.table = decay, _class_table()
+        self.decay, self.table = decay, np.full(0x110000, -1, np.int8)  # filled as code points come up
         self.triples = {n: np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)], np.int64).reshape(-1, 3) for n in range(PIECE + 1)}
 
     def codes(self, words: list[str], n: int) -> np.ndarray:
         """Sign classes of words of length n."""
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        return self.table[np.where(flat < len(self.table), flat, 0)].reshape(len(words), n)
+        out = self.table[flat]
+        if (out < 0).any():
+            for point in np.unique(flat[out < 0]).tolist():
+                self.table[point] = sign_of(point)
+            out = self.table[flat]
+        return out.astype(np.int64).reshape(len(words), n)
 
     def features(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Triple codes and weights of words of one length: (words, triples), (triples,)."""
@@ -121,33 +128,33 @@ class Kernel:
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
         for n, idx in groups.items():
-            for at in range(0, len(idx), 2048):
-                part = idx[at : at + 2048]
+            for at in range(0, len(idx), 1024):
+                part = idx[at : at + 1024]
                 yield np.array(part), self.codes([words[i] for i in part], n)
 
     def dense(self, words: list[str], cut: bool = True) -> np.ndarray:
-        """Normed feature rows; only for landmarks. ``cut``: words of one piece each, else pieces."""
-        out = np.zeros((len(words), SIGNS**3), np.float32)
+        """Normed features, a column for each word; only for landmarks. ``cut``: words of one piece each, else pieces."""
+        out = np.zeros((SIGNS**3, len(words)), np.float32)
         for idx, codes in self.by_length(_pieces(words)[0] if cut else words):
             if codes.shape[1] < 3:
                 continue
             u, w = self.features(codes)
-            for r, row in zip(idx, u, strict=True):
-                np.add.at(out[r], row, w)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
+            for c, row in zip(idx, u, strict=True):
+                one = np.bincount(row, w, SIGNS**3)
+                out[:, c] = one / np.linalg.norm(one)
+        return out
 
     def against(self, words: list[str], dense: np.ndarray, cut: bool = True) -> np.ndarray:
         """Normed kernel values (words, landmarks); ``cut`` as in dense."""
-        out = np.zeros((len(words), len(dense)), np.float32)
-        t = np.ascontiguousarray(dense.T)
+        out = np.zeros((len(words), dense.shape[1]), np.float32)
         for idx, codes in self.by_length(_pieces(words)[0] if cut else words):
             if codes.shape[1] < 3:
                 continue
             u, w = self.features(codes)
             norm = self.norms(codes)
+            w = w.astype(np.float32)
             for r, row, x in zip(idx, u, norm, strict=True):
-                out[r] = (w[:, None] * t[row]).sum(axis=0) / x
+                out[r] = (w @ dense[row]) / x
         return out
 
 
@@ -262,7 +269,7 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
     words = sorted(set(in_bad) | set(in_good))
     for k in range(rounds + 1):
         dense = kernel.dense(marks, cut=False)
-        values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+        values, vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))
         keep = values > 1e-4 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem: k(x, landmarks) @ root
         gapped = list(dict.fromkeys(v for w in witness for v in inserted(w) if not in_good[v]))
@@ -270,7 +277,7 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
         have = set(negatives)
         while True:
             w, bias = _svm(np.vstack([xp, xn]), np.r_[np.ones(len(xp)), -np.ones(len(xn))], len(clean))
-            model = Model((dense.T @ (root @ w)).astype(np.float64), bias)
+            model = Model((dense @ (root @ w)).astype(np.float64), bias)
             z = dict(zip(words, model.values(kernel, words).tolist(), strict=True))
             left = sorted((x for x in clean if z[x] > -1 and x not in have), key=lambda x: (-z[x], x))
             if not left or k < rounds:
