@@ -147,6 +147,19 @@ def word_offsets(text: Column) -> Column:
     return _offsets_of(text)
 
 
+_MARKED = re.compile(r"<\|\w+\|>|</?think>|[^ \t\n\x0b\f\r<]+|<")
+
+
+@_places("token")
+def _marked_of(text: str | None):
+    return None if text is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in _MARKED.finditer(text)]
+
+
+def marked_offsets(text: Column) -> Column:
+    """Words with their places, parted at tags and special tokens."""
+    return _marked_of(text)
+
+
 def overlaps(token: Column, spans: Column) -> Column:
     """Whether a token's half-open place meets a span; tokens of no width meet nothing."""
     return F.exists(spans, lambda s: (token["start"] < s["end"]) & (token["end"] > s["start"])) & (token["end"] > token["start"])

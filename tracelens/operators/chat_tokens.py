@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +20,40 @@ def token_ids(tokens: Column, vocabulary: int = VOCABULARY) -> Column:
     return F.transform(tokens, lambda t: hash_bucket(t["token"], vocabulary).cast("int"))
 
 
-def tokenize_for_sft(chats: DataFrame, max_length: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer as two column functions: a text's tokens with their places, and the ids of such tokens.
+
+    Tokens are structs with token, start and end at least, so the ids may be a field that ``offsets`` made.
+    """
+
+    offsets: Callable[[Column], Column]
+    ids: Callable[[Column], Column]
+
+
+#: Words between white space; and words parted at tags and special tokens, each of which is a token of its own.
+WORDS = Tokenizer(T.word_offsets, token_ids)
+MARKED_WORDS = Tokenizer(T.marked_offsets, token_ids)
+
+
+def python_tokenizer(encode: Callable[[str], list[tuple[int, int, int]]]) -> Tokenizer:
+    """A tokenizer from a function of a text to (id, start, end) triples, such as a library's; it runs in Arrow batches."""
+
+    def places(text: str | None):
+        return None if text is None else [{"token": text[a:b], "start": a, "end": b, "id": i} for i, a, b in encode(text)]
+
+    kind = "array<struct<token:string,start:int,end:int,id:int>>"
+    return Tokenizer(lambda text: F.udf(places, kind, useArrow=True)(text), lambda tokens: F.transform(tokens, lambda t: t["id"]))
+
+
+def tokenize_for_sft(chats: DataFrame, max_length: int | None = None, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Adds input_ids, attention_mask and labels: ids of tokens in assistant messages, -100 elsewhere.
 
     Beyond ``max_length`` tokens are cut off on the left.
     """
     rows = T.settled(chats, _text=T.render(F.col("messages")))
-    rows = T.settled(rows, _tokens=T.word_offsets(F.col("_text")), _spans=T.assistant_spans(F.col("messages"), F.col("_text")))
-    rows = T.settled(rows, input_ids=token_ids(F.col("_tokens")))
+    rows = T.settled(rows, _tokens=tokenizer.offsets(F.col("_text")), _spans=T.assistant_spans(F.col("messages"), F.col("_text")))
+    rows = T.settled(rows, input_ids=tokenizer.ids(F.col("_tokens")))
     rows = T.settled(rows, labels=T.labels(F.col("_tokens"), F.col("input_ids"), F.col("_spans")))
     if max_length:
         rows = rows.withColumn("input_ids", T.truncate_left(F.col("input_ids"), max_length)).withColumn("labels", T.truncate_left(F.col("labels"), max_length))
@@ -35,11 +64,11 @@ def has_trainable_tokens(labels: Column) -> Column:
     return F.exists(labels, lambda x: x != T.IGNORE)
 
 
-def tokenize_answer(traced: DataFrame) -> DataFrame:
+def tokenize_answer(traced: DataFrame, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """traced: messages and answer. Adds input_ids, labels and answer_positions; rows without an answer token go."""
     rows = T.settled(traced, _text=T.render(F.col("messages")))
-    rows = T.settled(rows, _tokens=T.word_offsets(F.col("_text")), _span=T.answer_span(F.col("messages"), F.col("_text"), F.col("answer"))).where("_span is not null")
-    rows = T.settled(rows, input_ids=token_ids(F.col("_tokens")))
+    rows = T.settled(rows, _tokens=tokenizer.offsets(F.col("_text")), _span=T.answer_span(F.col("messages"), F.col("_text"), F.col("answer"))).where("_span is not null")
+    rows = T.settled(rows, input_ids=tokenizer.ids(F.col("_tokens")))
     rows = T.settled(rows, labels=T.labels(F.col("_tokens"), F.col("input_ids"), F.array("_span")))
     rows = rows.withColumn("answer_positions", F.filter(F.transform("labels", lambda x, i: F.when(x != T.IGNORE, i)), lambda i: i.isNotNull()))
     return rows.where(F.size("answer_positions") > 0).drop("_text", "_tokens", "_span")

@@ -29,16 +29,18 @@ def shuffle_key(key, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def split(rows: DataFrame, sizes: dict[str, int], seed: int, key: str = "doc_id", buckets: int = 256) -> DataFrame:
+def split(rows: DataFrame, sizes: dict[str, int], seed: int, key: str = "doc_id") -> DataFrame:
     """Adds ``rank`` and ``split``: a shuffled order by hash, cut into consecutive slices of the given sizes.
 
     The rank is found in two steps, so that no task orders the whole table: rows are ranked within the first hex digits
-    of the hash, and each bucket adds the number of rows in the buckets before it.
+    of the hash, and each bucket adds the number of rows in the buckets before it. Buckets that begin beyond the last
+    wanted rank are left out before any row is ordered.
     """
     hashed = rows.withColumn("_h", shuffle_key(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 2))
     counts = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))  # at most 256 rows
-    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).join(F.broadcast(before), "_b")
+    before = before.where(F.col("_before") < sum(sizes.values()))
+    ranked = hashed.join(F.broadcast(before), "_b").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     ranked = ranked.withColumn("rank", (F.col("_r") + F.col("_before")).cast("long"))
     label, lo = None, 0
     for name in SPLITS:
@@ -57,6 +59,11 @@ def checked_split(rows: DataFrame, sizes: dict[str, int], seed: int, key: str =
     return split(rows, sizes, seed, key)
 
 
+def prefix_limit(rows: DataFrame, limit: int | None, key: str = "sample_index") -> DataFrame:
+    """The samples numbered below the limit; all of them without one. Numbers are stable, unlike what ``limit`` takes."""
+    return rows if limit is None else rows.where(F.col(key) < limit)
+
+
 def split_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("split").agg(F.count("*").alias("n"))
 

@@ -52,6 +52,23 @@ def merge_histograms(parts: DataFrame) -> DataFrame:
     return parts.groupBy("method", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
+_SKETCH = "method string, n long, total double, total_sq double, under long, bins map<string,long>"
+
+
+def sketch_documents(mom: DataFrame, hist: DataFrame) -> DataFrame:
+    """(method, value): each method's sketch as one JSON text, to be merged elsewhere; at most 3000 bins a method."""
+    bins = hist.groupBy("method").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("bin").cast("string").alias("bin"), "cnt")))).alias("bins"))
+    rows = mom.join(bins, "method", "left").select("method", "n", "total", "total_sq", "under", F.coalesce("bins", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("bins"))
+    return rows.select("method", F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def from_sketch_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moments, histogram) of any number of documents, those of one method merged."""
+    rows = documents.select(F.from_json("value", _SKETCH).alias("d")).select("d.*")
+    mom = rows.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("n", "total", "total_sq", "under")])
+    return mom, merge_histograms(rows.select("method", F.explode("bins").alias("bin", "cnt")).select("method", F.col("bin").cast("int").alias("bin"), "cnt"))
+
+
 def quantiles(mom: DataFrame, hist: DataFrame, qs=QUANTILES) -> DataFrame:
     """(method, q, value): linear within the first bin whose running count reaches q * n; -30 if that is below the grid.
 
@@ -94,4 +111,4 @@ def position_curve(tokens: DataFrame, limit: int = POSITIONS) -> DataFrame:
     return tokens.where(F.col("position") < limit).groupBy("method", "position").agg(F.count("*").alias("cnt"), F.avg("logprob").alias("mean"))
 
 
-__all__ = ["BINS", "POSITIONS", "QUANTILES", "coarse_density", "histogram", "merge_histograms", "moments", "position_curve", "quantiles", "sample_scores", "summarize", "token_summary", "with_position"]
+__all__ = ["BINS", "POSITIONS", "QUANTILES", "coarse_density", "from_sketch_documents", "histogram", "merge_histograms", "moments", "position_curve", "quantiles", "sample_scores", "sketch_documents", "summarize", "token_summary", "with_position"]

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from tracelens.functions import numeric as N
 from tracelens.functions import text as T
 from tracelens.functions.numeric import rounded
-from tracelens.operators import batching, chat_tokens, corpus, lm, patching, pooling, reporting, summary
+from tracelens.operators import batching, chat_tokens, compression, corpus, lm, patching, pooling, reporting, summary
 from tracelens.plans import flagship
 from tracelens.sources import artifacts, tables
 
 EV = "ev as (select user_id as sample_index, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos, value as h from events)"
 LP = "lp as (select event_type as method, user_id as sample_index, ts, event_id, ln(greatest(value, 0.01) / 1000.0::double) as logprob from events)"
+_HIST0 = f"{LP}, bn as (select method, logprob, least(trunc((logprob + 30.0) * 100.0)::int, 2999) as bin from lp), hs as (select method, bin, count(*) as cnt from bn where bin >= 0 group by all), mo as (select method, count(*) as n, sum(logprob) as total, sum(logprob * logprob) as total_sq, count(*) filter (bin < 0) as under from bn group by method)"
+_SAMP = f"{LP}, sa as (select method, sample_index, count(*) as answer_tokens, sum(logprob) as logprob_sum, sum(logprob) / count(*) as logprob_mean, case when sample_index % 5 = 0 then null else (count(*) % 7 + 1)::double / 8 end as compression_ratio, (count(*) % 7 + 1)::int as compressed_cot_tokens from lp group by method, sample_index)"
+_SUMM = """select method, count(*) as samples, round(avg(logprob_mean), 6) + 0.0 as mean_logprob, round(coalesce(stddev_samp(logprob_mean), 0), 6) + 0.0 as std_logprob, round(coalesce(stddev_samp(logprob_mean), 0) / sqrt(count(*)), 6) + 0.0 as sem_logprob,
+round(avg(logprob_sum), 5) + 0.0 as mean_logprob_sum, round(avg(answer_tokens), 6) + 0.0 as mean_answer_tokens, round(avg(compression_ratio), 6) + 0.0 as mean_compression_ratio, round(coalesce(stddev_samp(compression_ratio), 0), 6) + 0.0 as std_compression_ratio, round(avg(compressed_cot_tokens), 6) + 0.0 as mean_compressed_cot_tokens"""
 MSG = "cm as (select conv_id, list({'role': role, 'content': text} order by turn) as m from conversations group by conv_id)"
 TR = r"""tx as (select conv_id, turn, role, case when role = 'assistant' and conv_id % 7 <> 0 then '<think>' || text || '</think>' || chr(10) || ' Answer ' || turn else text end as text from conversations),
 cm as (select conv_id, list({'role': role, 'content': text} order by turn) as m from tx group by conv_id),
@@ -147,12 +151,16 @@ def _(spark, sf_dir):
     return v.agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
-_SIZES = {"train": 120, "eval": 30, "test": 40}
-_SPLIT = "sp as (select doc_id, row_number() over (order by md5('1337:' || doc_id), doc_id) as rank from documents), la as (select *, case when rank <= 120 then 'train' when rank <= 150 then 'eval' when rank <= 190 then 'test' end as split from sp where rank <= 190)"
+#: Shares of the table, in hundredths.
+_SHARES = {"train": 60, "eval": 15, "test": 20}
+_SPLIT = """n as (select count(*) as n from documents), sp as (select doc_id, row_number() over (order by md5('1337:' || doc_id), doc_id) as rank from documents),
+la as (select doc_id, rank, case when rank <= n * 60 // 100 then 'train' when rank <= n * 60 // 100 + n * 15 // 100 then 'eval' else 'test' end as split from sp, n where rank <= n * 60 // 100 + n * 15 // 100 + n * 20 // 100)"""
 
 
 def _split(spark, sf_dir):
-    return corpus.split(tables.table(spark, sf_dir, "documents").select("doc_id", "source"), _SIZES, 1337)
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source")
+    n = docs.count()
+    return corpus.split(docs, {k: n * share // 100 for k, share in _SHARES.items()}, 1337)
 
 
 @query("corpus_split", f"with {_SPLIT} select doc_id, rank, split from la")
@@ -172,9 +180,15 @@ def _(spark, sf_dir):
     return a.join(b, "doc_id").where("a < b").agg(F.count("*").alias("shared"))
 
 
-@query("prefix_limit", f"with {EV} select sample_index, count(*) as n from ev where sample_index < 40 group by 1")
+@query("prefix_limit", f"with {EV} select sample_index, count(*) as n from ev where sample_index < (select trunc(max(sample_index) / 2.0)::int from ev) group by 1")
+def _(spark, sf_dir):
+    half = tables.entropy_series(spark, sf_dir).agg((F.max("sample_index") / 2).cast("int")).first()[0]
+    return corpus.prefix_limit(tables.entropy_series(spark, sf_dir), half).groupBy("sample_index").agg(F.count("*").alias("n"))
+
+
+@query("prefix_limit_none", f"with {EV} select sample_index, count(*) as n from ev group by 1")
 def _(spark, sf_dir):
-    return tables.entropy_series(spark, sf_dir).where("sample_index < 40").groupBy("sample_index").agg(F.count("*").alias("n"))
+    return corpus.prefix_limit(tables.entropy_series(spark, sf_dir), None).groupBy("sample_index").agg(F.count("*").alias("n"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------
@@ -240,6 +254,23 @@ def _(spark, sf_dir):
     return t.withColumn("s", T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer"))).select("conv_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
+_SHIFTED = f"""{_SPANS}, rr as (select conv_id, {RENDER} as r from cm),
+sh as (select pa.conv_id, pa.answer, case when pa.conv_id % 2 = 0 then replace(r, '<think>', '<think>' || chr(10)) else replace(r, 'Answer', 'Reply') end as r from pa join rr on rr.conv_id = pa.conv_id where pa.answer <> ''),
+fb as (select conv_id, answer, r, case when strpos(r, answer) > 0 then (length(r) - strpos(reverse(r), reverse(answer)) - length(answer) + 1)::int end as start_pos from sh)"""
+
+
+def _shifted(spark, sf_dir):
+    """Rendered texts in which assistant messages are not found as they are; in every other one the answer is not there at all."""
+    t = T.settled(_traced(spark, sf_dir), rendered=T.render(F.col("messages")))
+    return t.withColumn("rendered", F.when(F.col("conv_id") % 2 == 0, F.replace("rendered", F.lit("<think>"), F.lit("<think>\n"))).otherwise(F.replace("rendered", F.lit("Answer"), F.lit("Reply"))))
+
+
+@query("answer_span_fallback", f"with {_SHIFTED} select conv_id, start_pos, (start_pos + length(answer))::int as end_pos from fb")
+def _(spark, sf_dir):
+    t = T.settled(_shifted(spark, sf_dir), s=T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer")))
+    return t.select("conv_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+
+
 @query("token_offsets", r"""with w as (select conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w, text from conversations)
 select conv_id, turn, len(w)::int as n_tokens, list_sum(list_transform(w, lambda x: length(x)))::bigint as token_chars, w[1] as first_token, (strpos(text, w[1]) - 1)::int as first_start from w""")
 def _(spark, sf_dir):
@@ -248,36 +279,47 @@ def _(spark, sf_dir):
     return c.select("conv_id", "turn", F.size("o").alias("n_tokens"), chars.alias("token_chars"), F.col("o")[0]["token"].alias("first_token"), F.col("o")[0]["start"].alias("first_start"))
 
 
-@query("answer_label_mask", f"""with {TR}, w as (select conv_id, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') as w from pa where answer <> '')
-select conv_id, len(w)::int as answer_tokens from w""")
+_ANSWER_AT = f"""{_SPANS}, rr as (select conv_id, {RENDER} as r from cm),
+ax as (select pa.conv_id, pa.answer, s.turn, s.start_pos + strpos(s.text, pa.answer) - 1 as p from pa join s on s.conv_id = pa.conv_id and s.role = 'assistant' and strpos(s.text, pa.answer) > 0 where pa.answer <> ''),
+ay as (select conv_id, any_value(answer) as answer, arg_min(p, turn)::int as p from ax group by conv_id),
+az as (select conv_id, len(list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '')) as n, len(list_filter(string_split_regex(substring(r, 1, p), '\\s+'), lambda x: x <> '')) as k from ay join rr using (conv_id))"""
+
+
+@query("answer_label_mask", f"with {_ANSWER_AT} select conv_id, range(k, k + n)::int[] as labelled from az")
 def _(spark, sf_dir):
     t = T.settled(_traced(spark, sf_dir), rendered=T.render(F.col("messages")))
     t = T.settled(t, s=T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer")), o=T.word_offsets(F.col("rendered")))
-    ids = F.transform("o", lambda x, i: i)
-    marked = T.labels(F.col("o"), ids, F.array("s"))
-    return t.select("conv_id", F.size(F.filter(marked, lambda x: x != T.IGNORE)).alias("answer_tokens"))
+    marked = T.labels(F.col("o"), F.transform("o", lambda x, i: i), F.array("s"))
+    return t.select("conv_id", F.filter(marked, lambda x: x != T.IGNORE).alias("labelled"))
+
 
+_TOKENS = r"'<\|\w+\|>|</?think>|[^ \t\n\f\r<]+|<'"
 
-@query("slot_positions", f"with {TR} select conv_id, [1, 2, 3] as slots from pa where answer <> ''")
+
+@query("slot_positions", f"""with {TR}, rr as (select pa.conv_id, pa.idx % 5 + 1 as k, {RENDER} as r, text, substring(text, 1, a + 6) || repeat('<|slot|>', (pa.idx % 5 + 1)::int) || substring(text, b) as swapped from pa join cm using (conv_id) where answer <> ''),
+fs as (select conv_id, k, (select string_agg('<|' || role || '|>' || chr(10) || case when x.turn = l.turn then rr.swapped else x.text end || chr(10), '' order by x.turn) from tx x join la l using (conv_id) where x.conv_id = rr.conv_id) as r from rr)
+select conv_id, range(n, n + k)::int[] as slots from (select conv_id, k, len(regexp_extract_all(substring(r, 1, strpos(r, '<|slot|>') - 1), {_TOKENS})) as n from fs)""")
 def _(spark, sf_dir):
-    t = _traced(spark, sf_dir)
-    ids = F.array(F.lit("<think>"), *[F.lit(T.PLACEHOLDER)] * 3, F.lit("</think>"), F.col("answer"))
-    return t.select("conv_id", T.positions(ids, F.lit(T.PLACEHOLDER)).alias("slots"))
+    t = _traced(spark, sf_dir).withColumn("compressed_cot_tokens", (F.col("idx") % 5 + 1).cast("int"))
+    t = t.withColumn("messages", T.replace_trace(F.col("messages"), F.col("idx"), T.placeholders(F.col("compressed_cot_tokens"))))
+    return compression.slot_places(t, chat_tokens.MARKED_WORDS).select("conv_id", F.col("places").alias("slots"))
 
 
-_WORDS = r"""{TR}, w as (select conv_id, role, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as n from tx),
+_WORDS = r"""{TR}, ids as (select conv_id, turn, role, list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda x: (('0x' || substr(md5(x), 1, 8))::bigint % 50000)::int) as i, (('0x' || substr(md5('<|' || role || '|>'), 1, 8))::bigint % 50000)::int as head from tx),
+fl as (select conv_id, flatten(list(list_concat([head], i) order by turn)) as input_ids, flatten(list(list_concat([-100], case when role = 'assistant' then i else list_transform(i, lambda x: -100) end) order by turn)) as labels from ids group by conv_id),
+w as (select conv_id, role, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as n from tx),
 n as (select conv_id, sum(n + 1)::int as n_tokens, coalesce(sum(n) filter (role = 'assistant'), 0)::int as n_labels from w group by conv_id)""".replace("{TR}", TR)
 
 
-@query("sft_tokens", f"with {_WORDS} select conv_id, n_tokens, n_labels, n_labels > 0 as trainable from n")
+@query("sft_tokens", f"with {_WORDS} select conv_id, input_ids, labels, n_labels > 0 as trainable from n join fl using (conv_id)")
 def _(spark, sf_dir):
     rows = chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir))
-    return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), F.size(F.filter("labels", lambda x: x != T.IGNORE)).alias("n_labels"), chat_tokens.has_trainable_tokens(F.col("labels")).alias("trainable"))
+    return rows.select("conv_id", "input_ids", "labels", chat_tokens.has_trainable_tokens(F.col("labels")).alias("trainable"))
 
 
-@query("sft_truncated", f"with {_WORDS} select conv_id, least(n_tokens, 64)::int as n_tokens from n")
+@query("sft_truncated", f"with {_WORDS} select conv_id, input_ids[greatest(1, len(input_ids) - 63):] as input_ids, labels[greatest(1, len(labels) - 63):] as labels from fl")
 def _(spark, sf_dir):
-    return chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir), 64).select("conv_id", F.size("labels").alias("n_tokens"))
+    return chat_tokens.tokenize_for_sft(tables.traces(spark, sf_dir), 64).select("conv_id", "input_ids", "labels")
 
 
 @query("collated_batches", f"with {_WORDS} select conv_id, max(n_tokens) over (partition by conv_id // 8) as width, n_tokens as mask_sum, (max(n_tokens) over (partition by conv_id // 8) - n_labels)::int as ignored from n")
@@ -287,10 +329,96 @@ def _(spark, sf_dir):
     return out.select("conv_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"), F.size(F.filter("labels", lambda x: x == T.IGNORE)).alias("ignored"))
 
 
-@query("answer_positions", f"""with {_SPANS}, aw as (select pa.conv_id, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') as w from pa where answer <> '')
-select conv_id, len(w)::int as answer_tokens from aw""")
+@query("answer_positions", f"with {_ANSWER_AT} select conv_id, range(k, k + n)::int[] as answer_positions from az")
+def _(spark, sf_dir):
+    return chat_tokens.tokenize_answer(_traced(spark, sf_dir)).select("conv_id", "answer_positions")
+
+
+@query("answer_tokens_fallback", f"""with {_SHIFTED} select conv_id, len(list_filter(string_split_regex(substring(r, 1, start_pos), '\\s+'), lambda x: x <> ''))::int as first_position, len(list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> ''))::int as answer_tokens from fb where start_pos is not null""")
+def _(spark, sf_dir):
+    t = T.settled(_shifted(spark, sf_dir), s=T.answer_span(F.col("messages"), F.col("rendered"), F.col("answer")), o=T.word_offsets(F.col("rendered"))).where("s is not null")
+    marked = F.filter(T.labels(F.col("o"), F.transform("o", lambda x, i: i), F.array("s")), lambda x: x != T.IGNORE)
+    return t.select("conv_id", F.array_min(marked).alias("first_position"), F.size(marked).alias("answer_tokens"))
+
+
+# --- compression ------------------------------------------------------------------------------------------------
+_CUT = r"""{TR}, tt as (select conv_id, (generate_subscripts(w, 1) - 1)::int as pos, unnest(w) as token from (select conv_id, list_filter(string_split_regex(trace, '\s+'), lambda x: x <> '') as w from pa where answer <> '')),
+th as (select conv_id, pos, token, length(token)::double as h from tt)""".replace("{TR}", TR)
+
+
+def _compressed(spark, sf_dir, method):
+    traces = compression.traced(tables.traces(spark, sf_dir))
+    rows = compression.trace_tokens(traces).withColumn("h", F.length("token").cast("double"))
+    vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"))
+    rows = rows.withColumn("token_id", F.col("token_id") % F.lit(500)).join(vectors.select("token_id"), "token_id")
+    return compression.compress(traces, rows, vectors, method, 500, "conv_id")
+
+
+_FINISH = "select pa.conv_id, '{name}' as method, substring(text, 1, a + 6) || repeat('<|slot|>', c.k::int) || substring(text, b) as content, c.n::int as original_cot_tokens, c.k::int as compressed_cot_tokens, round(c.k / c.n::double, 6) as compression_ratio from pa join c on c.conv_id = pa.conv_id"
+
+
+def _finish(df):
+    return df.select("conv_id", "method", F.get("messages", T.last_assistant(F.col("messages")))["content"].alias("content"), "original_cot_tokens", "compressed_cot_tokens", rounded(F.col("compression_ratio")).alias("compression_ratio"))
+
+
+@query("compress_uniform", f"with {_CUT}, c as (select conv_id, count(*) as n, ceil(count(*) / 4.0) as k from th group by conv_id) " + _FINISH.format(name="simple_mean_uniform_cr4"))
+def _(spark, sf_dir):
+    return _finish(_compressed(spark, sf_dir, compression.Method("simple_mean", patching.Uniform(key="conv_id", ratio=4.0))).chats)
+
+
+_THC = f"{_CUT}, q as (select conv_id, quantile_cont(h, 0.75) as q from th group by conv_id), c as (select conv_id, count(*) as n, count(*) filter (pos = 0 or h >= q) as k from th join q using (conv_id) group by conv_id)"
+
+
+@query("compress_threshold", f"with {_THC} " + _FINISH.format(name="entropy_weighted_mean_t0_entropy_threshold_cr4"))
+def _(spark, sf_dir):
+    return _finish(_compressed(spark, sf_dir, compression.Method("entropy_weighted_mean", patching.Threshold(key="conv_id", ratio=4.0), 0.0)).chats)
+
+
+@query("compress_splice", f"with {_THC} select pa.conv_id, c.k as slots, 64 * c.k as numbers from pa join c on c.conv_id = pa.conv_id")
+def _(spark, sf_dir):
+    """Each slot's vector meets its placeholder: as many as there are spans, with a number for every dimension."""
+    out = _compressed(spark, sf_dir, compression.Method("entropy_weighted_mean", patching.Threshold(key="conv_id", ratio=4.0), 0.0))
+    both = compression.spliced(compression.slot_places(out.chats, chat_tokens.MARKED_WORDS), out.slots)
+    return both.groupBy("conv_id").agg(F.countDistinct("place").alias("slots"), F.sum(F.size(F.filter("vector", lambda x: x.isNotNull()))).alias("numbers"))
+
+
+@query("entropy_eligible", f"with {TR} select conv_id from pa where answer <> '' and idx > 0")
 def _(spark, sf_dir):
-    return chat_tokens.tokenize_answer(_traced(spark, sf_dir)).select("conv_id", F.size("answer_positions").alias("answer_tokens"))
+    return compression.entropy_eligible(compression.traced(tables.traces(spark, sf_dir))).select("conv_id")
+
+
+# --- run artifacts ----------------------------------------------------------------------------------------------
+def _written(spark, sf_dir):
+    """A run's artifacts in the shared folder."""
+    import uuid
+
+    from tracelens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4()}"
+    tokens = tables.token_logprobs(spark, sf_dir).withColumn("token_index", F.lit(0)).withColumn("token_id", F.col("event_id").cast("int"))
+    s = _samples(spark, sf_dir)
+    artifacts.write_run(folder, s, summary.summarize(s), tokens)
+    return folder
+
+
+@query("run_artifacts", f"with {_SAMP}, y as ({_SUMM} from sa group by method), t as (select method, count(*) as tokens from lp group by method), r as (select method, count(*) filter (compression_ratio is not null) as points from sa group by method) select y.*, tokens, points from y join t using (method) join r using (method)")
+def _(spark, sf_dir):
+    """Writes a run and reports on what it reads back: the summary, the number of tokens and of scatter points."""
+    folder = _written(spark, sf_dir)
+    points, _ = reporting.scatter_points(artifacts.load_samples(spark, folder), "compression_ratio", "logprob_mean")
+    tokens = artifacts.load_tokens(spark, folder, ["method"]).groupBy("method").agg(F.count("*").alias("tokens"))
+    read = _rounded_summary(artifacts.load_summaries(spark, folder)).withColumn("samples", F.col("samples").cast("long"))
+    return read.join(tokens, "method").join(points.groupBy("method").agg(F.count("*").alias("points")), "method").checkpoint()
+
+
+@query("run_token_statistics", f"with {_HIST0}, p as (select method, sum(exp(-30.0 + (bin + 0.5) * 0.01) * cnt) as p from hs group by method) select mo.method, n, round(total / n, 6) + 0.0 as mean from mo")
+def _(spark, sf_dir):
+    mom, hist, damaged = artifacts.token_statistics(spark, _written(spark, sf_dir))
+    mom, hist = summary.from_sketch_documents(summary.sketch_documents(mom, hist))
+    if damaged.count():
+        raise ValueError("malformed lines")
+    return mom.select("method", "n", rounded(F.col("total") / F.col("n")).alias("mean"))
 
 
 # --- language model ---------------------------------------------------------------------------------------------
@@ -403,7 +531,6 @@ query("evaluate_methods", flagship.SQL)(flagship.evaluate_methods)
 
 
 # --- summaries and sketch ---------------------------------------------------------------------------------------
-_SAMP = f"{LP}, sa as (select method, sample_index, count(*) as answer_tokens, sum(logprob) as logprob_sum, sum(logprob) / count(*) as logprob_mean, case when sample_index % 5 = 0 then null else (count(*) % 7 + 1)::double / 8 end as compression_ratio, (count(*) % 7 + 1)::int as compressed_cot_tokens from lp group by method, sample_index)"
 
 
 def _samples(spark, sf_dir):
@@ -412,8 +539,6 @@ def _samples(spark, sf_dir):
     return s.withColumn("compression_ratio", F.when(F.col("sample_index") % 5 != 0, N.safe_ratio(kept, F.lit(8)))).withColumn("compressed_cot_tokens", kept)
 
 
-_SUMM = """select method, count(*) as samples, round(avg(logprob_mean), 6) + 0.0 as mean_logprob, round(coalesce(stddev_samp(logprob_mean), 0), 6) + 0.0 as std_logprob, round(coalesce(stddev_samp(logprob_mean), 0) / sqrt(count(*)), 6) + 0.0 as sem_logprob,
-round(avg(logprob_sum), 5) + 0.0 as mean_logprob_sum, round(avg(answer_tokens), 6) + 0.0 as mean_answer_tokens, round(avg(compression_ratio), 6) + 0.0 as mean_compression_ratio, round(coalesce(stddev_samp(compression_ratio), 0), 6) + 0.0 as std_compression_ratio, round(avg(compressed_cot_tokens), 6) + 0.0 as mean_compressed_cot_tokens"""
 
 
 def _rounded_summary(df):
@@ -445,7 +570,7 @@ def _(spark, sf_dir):
     return s.join(first, "sample_index").where("method <> a").groupBy("method").agg(F.count("*").alias("pairs"), rounded(F.avg(F.col("logprob_mean") - F.col("a_mean"))).alias("delta"))
 
 
-_HIST = f"{LP}, bn as (select method, logprob, least(trunc((logprob + 30.0) * 100.0)::int, 2999) as bin from lp), hs as (select method, bin, count(*) as cnt from bn where bin >= 0 group by all), mo as (select method, count(*) as n, sum(logprob) as total, sum(logprob * logprob) as total_sq, count(*) filter (bin < 0) as under from bn group by method)"
+_HIST = _HIST0
 
 
 @query("hist_fine", f"with {_HIST} select method, bin, cnt from hs")

@@ -16,31 +16,38 @@ from tracelens.sources import tables
 MIX = 0.2
 
 
+#: Methods, each a column of weights.
+METHODS = ("base", "simple_mean_uniform_cr4", "entropy_weighted_mean_t0_entropy_threshold_cr4")
+
+
 def weighted_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, pos, token, method, w): what each method keeps of the traces."""
+    """(conv_id, pos, token, w0, w1, w2): what each method keeps of the traces, all in one set of rows."""
     toks = tables.trace_tokens(spark, sf_dir)
     turns = tables.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     contexts = lm.context_entropy(lm.bigrams(lm.tokens(turns, "id"), "id"))
-    rows = lm.token_entropies(toks, contexts, "conv_id").select("conv_id", "pos", "token", F.coalesce("h", F.lit(0.0)).alias("h"))
-    base = rows.select("conv_id", "pos", "token", F.lit("base").alias("method"), F.lit(1.0).alias("w"))
+    rows = lm.token_entropies(toks, contexts, "conv_id").select("conv_id", "pos", "token", F.coalesce("h", F.lit(0.0)).alias("h"), F.lit(1.0).alias("w0"))
     uni = patching.Uniform(key="conv_id", ratio=4.0).apply(rows)
-    mean = uni.select("conv_id", "pos", "token", F.lit("simple_mean_uniform_cr4").alias("method"), (1.0 / F.count("*").over(Window.partitionBy("conv_id", "patch"))).alias("w"))
-    thr = pooling.entropy_weights(patching.Threshold(key="conv_id", ratio=4.0).apply(rows), 0, "conv_id")
-    peak = thr.select("conv_id", "pos", "token", F.lit("entropy_weighted_mean_t0_entropy_threshold_cr4").alias("method"), "w")
-    return base.unionByName(mean).unionByName(peak)
+    mean = uni.withColumn("w1", 1.0 / F.count("*").over(Window.partitionBy("conv_id", "patch"))).drop("patch")
+    peak = pooling.entropy_weights(patching.Threshold(key="conv_id", ratio=4.0).apply(mean), 0, "conv_id")
+    return peak.select("conv_id", "pos", "token", "w0", "w1", F.col("w").alias("w2"))
 
 
 def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(method, conv_id, pos, logprob, k, n): answer tokens with their log-probability under each method."""
-    kept = weighted_traces(spark, sf_dir)
-    totals = kept.groupBy("method", "conv_id").agg(F.sum("w").alias("k"), F.count("*").alias("n"))
-    weights = kept.groupBy("method", "conv_id", "token").agg(F.sum("w").alias("w"))
+    """(method, conv_id, pos, token, logprob, k, n): answer tokens with their log-probability under each method.
+
+    Weights are added up once for all methods; an answer token meets them in one join and is stacked into a row a method.
+    """
+    names = [f"w{i}" for i in range(len(METHODS))]
+    weights = weighted_traces(spark, sf_dir).groupBy("conv_id", "token").agg(*[F.sum(w).alias(w) for w in names], F.count("*").alias("c"))
+    totals = weights.groupBy("conv_id").agg(*[F.sum(w).alias(f"k{i}") for i, w in enumerate(names)], F.sum("c").alias("n"))
     turns = tables.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     counts = lm.tokens(turns, "id").groupBy("token").agg(F.count("*").alias("c"))
     size = counts.agg(F.sum("c").alias("total"), F.count("*").alias("v"))
-    answers = tables.answer_tokens(spark, sf_dir).join(totals, "conv_id").join(weights, ["method", "conv_id", "token"], "left").join(counts, "token", "left").crossJoin(F.broadcast(size))  # one row
-    p = F.lit(MIX) * F.coalesce("w", F.lit(0.0)) / F.col("k") + F.lit(1 - MIX) * (F.coalesce("c", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * F.col("v"))
-    return answers.select("method", "conv_id", "pos", F.log(p).alias("logprob"), "k", "n")
+    answers = tables.answer_tokens(spark, sf_dir).join(totals, "conv_id").join(weights.drop("c"), ["conv_id", "token"], "left").join(counts, "token", "left").crossJoin(F.broadcast(size))  # one row
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.coalesce(w, F.lit(0.0)).alias("w"), F.col(f"k{i}").alias("k")) for i, (m, w) in enumerate(zip(METHODS, names, strict=True))])).alias("m")
+    rows = answers.select("conv_id", "pos", "token", "n", "c", "total", "v", each).select("*", "m.*")
+    p = F.lit(MIX) * F.col("w") / F.col("k") + F.lit(1 - MIX) * (F.coalesce("c", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * F.col("v"))
+    return rows.select("method", "conv_id", "pos", "token", F.log(p).alias("logprob"), "k", "n")
 
 
 def evaluate_methods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,33 @@
 
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "float": FloatType(), "bool": BooleanType()}
 
+def _fields(kind, *names: str) -> list[StructField]:
+    return [StructField(n, kind) for n in names]
 
-def _struct(fields: str) -> StructType:
-    return StructType([StructField(n, _TYPES[t]) for n, t in (x.split(":") for x in fields.split())])
 
-
-MESSAGE = _struct("role:string content:string")
-CHAT = StructType([StructField("messages", ArrayType(MESSAGE)), *_struct("dataset_source:string id:string")])
-SAMPLES = _struct("method:string sample_index:long sample_id:string dataset_source:string answer_tokens:int logprob_sum:double logprob_mean:double compressed_cot_tokens:int compression_ratio:double")
-TOKENS = _struct("method:string sample_index:long token_index:int token_id:int logprob:double")
-SUMMARY = _struct(
-    "method:string method_family:string patching:string patching_param:string compression_param:string samples:int skipped:int mean_logprob:double std_logprob:double sem_logprob:double "
-    "mean_logprob_sum:double mean_answer_tokens:double mean_compression_ratio:double std_compression_ratio:double mean_compressed_cot_tokens:double"
+# The names and types of run artifacts.
+CHAT = StructType([StructField("messages", ArrayType(StructType(_fields(StringType(), "role", "content")))), *_fields(StringType(), "dataset_source", "id")])
+SAMPLES = StructType(
+    [
+        *_fields(StringType(), "method"),
+        *_fields(LongType(), "sample_index"),
+        *_fields(StringType(), "sample_id", "dataset_source"),
+        *_fields(IntegerType(), "answer_tokens"),
+        *_fields(DoubleType(), "logprob_sum", "logprob_mean"),
+        *_fields(IntegerType(), "compressed_cot_tokens"),
+        *_fields(DoubleType(), "compression_ratio"),
+    ]
+)
+TOKENS = StructType([*_fields(StringType(), "method"), *_fields(LongType(), "sample_index"), *_fields(IntegerType(), "token_index", "token_id"), *_fields(DoubleType(), "logprob")])
+SUMMARY = StructType(
+    [
+        *_fields(StringType(), "method", "method_family", "patching", "patching_param", "compression_param"),
+        *_fields(IntegerType(), "samples", "skipped"),
+        *_fields(DoubleType(), "mean_logprob", "std_logprob", "sem_logprob", "mean_logprob_sum", "mean_answer_tokens", "mean_compression_ratio", "std_compression_ratio", "mean_compressed_cot_tokens"),
+    ]
 )
-SUMMARY_FILE = StructType([*_struct("metric:string normalize_by_length:bool"), StructField("methods", ArrayType(SUMMARY))])
-ENTROPIES = StructType([StructField("sample_index", LongType()), StructField("entropies", ArrayType(FloatType())), StructField("cot_length", IntegerType())])
+SUMMARY_FILE = StructType([*_fields(StringType(), "metric"), *_fields(BooleanType(), "normalize_by_length"), StructField("methods", ArrayType(SUMMARY))])
+ENTROPIES = StructType([*_fields(LongType(), "sample_index"), StructField("entropies", ArrayType(FloatType())), *_fields(IntegerType(), "cot_length")])
 #: Columns of the compression-curve CSV, in order.
 CURVE = ["method", "method_family", "patching", "patching_param", "mean_compression_ratio", "std_compression_ratio", "mean_compressed_cot_tokens", "mean_logprob", "sem_logprob", "samples"]

@@ -11,10 +11,43 @@ from tracelens import schemas
 CORRUPT = "_corrupt_record"
 
 
+def _filesystem(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def artifact_paths(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Files of the name below a folder, and folders of it that Spark has written; one or two a run."""
+    fs, where = _filesystem(spark, root)
+    if not fs.exists(where):
+        return []
+    found, files = set(), fs.listFiles(where, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() == name:
+            found.add(path.toString())
+        elif path.getParent().getName() == name and path.getName().startswith("part-"):
+            found.add(path.getParent().toString())
+    return sorted(found)
+
+
 def _json(spark: SparkSession, root: str, name: str, schema: StructType, multiline: bool = False) -> DataFrame:
     with_corrupt = StructType(list(schema.fields)).add(CORRUPT, "string")
-    reader = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    return reader.option("multiLine", multiline).json(root).withColumn("file", F.col("_metadata.file_path"))
+    reader = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline)
+    paths = artifact_paths(spark, root, name)
+    if not paths:
+        return spark.createDataFrame([], with_corrupt.add("file", "string"))
+    return reader.json(paths).withColumn("file", F.col("_metadata.file_path"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, by the driver."""
+    fs, where = _filesystem(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def load_summaries(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +69,10 @@ def load_tokens(spark: SparkSession, root: str, columns: list[str] | None = None
 
 def malformed_lines(spark: SparkSession, root: str, name: str = "tokens.jsonl") -> DataFrame:
     """(file, malformed) of files with lines that do not parse."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root).withColumn("file", F.col("_metadata.file_path"))
+    paths = artifact_paths(spark, root, name)
+    if not paths:
+        return spark.createDataFrame([], "file string, malformed long")
+    lines = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
     parsed = F.try_parse_json("value") if hasattr(F, "try_parse_json") else F.from_json("value", "map<string,string>")
     return lines.where("value <> ''").groupBy("file").agg(F.count_if(parsed.isNull()).alias("malformed")).where("malformed > 0")
 
@@ -55,8 +91,8 @@ def field(rows: DataFrame, name: str) -> DataFrame:
 
 def artifact_folders(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(folder): folders named artifacts that hold a file of the name, in order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")
-    return files.select(F.regexp_extract("path", r"^(.*/artifacts)/[^/]+$", 1).alias("folder")).where("folder <> ''").distinct().orderBy("folder")
+    found = sorted({p.rsplit("/", 1)[0] for p in artifact_paths(spark, root, name)})
+    return spark.createDataFrame([(p,) for p in found if p.endswith("/artifacts")], "folder string")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -75,6 +111,26 @@ def summary_document(summaries: DataFrame, metric: str = "logprob", normalize: b
     return summaries.agg(F.to_json(F.struct(F.lit(metric).alias("metric"), F.lit(normalize).alias("normalize_by_length"), methods.alias("methods"))).alias("value"))
 
 
+def write_run(folder: str, samples: DataFrame, summaries: DataFrame, tokens: DataFrame | None = None, metric: str = "logprob", normalize: bool = True) -> None:
+    """A run's artifacts: samples.jsonl, tokens.jsonl if given, and summary.json last, so that its presence says the run is whole.
+
+    Rows are written by the tasks that score them; one row a method comes to the driver for the summary.
+    """
+    if tokens is not None:
+        write_jsonl(tokens.select(*[f.name for f in schemas.TOKENS.fields if f.name in tokens.columns]), f"{folder}/artifacts/tokens.jsonl")
+    write_jsonl(samples.select(*[f.name for f in schemas.SAMPLES.fields if f.name in samples.columns]), f"{folder}/artifacts/samples.jsonl")
+    text = summary_document(summaries, metric, normalize).first()["value"]
+    write_text(summaries.sparkSession, f"{folder}/artifacts/summary.json", text)
+
+
+def token_statistics(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(moments, histogram, files with malformed lines) over all token files below a folder."""
+    from tracelens.operators import summary
+
+    rows = load_tokens(spark, root, ["method", "logprob"])
+    return summary.moments(rows), summary.histogram(rows), malformed_lines(spark, root)
+
+
 def save_entropies(series: DataFrame, path: str) -> None:
     """Ragged arrays as (sample_index, entropies, cot_length), ordered within files."""
     series.select("sample_index", F.col("entropies").cast("array<float>").alias("entropies"), F.size("entropies").alias("cot_length")).repartitionByRange("sample_index").sortWithinPartitions("sample_index").write.mode("overwrite").parquet(path)
@@ -84,18 +140,24 @@ def load_entropies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ENTROPIES).parquet(path)
 
 
-def ragged_offsets(series: DataFrame, values: str = "entropies", key: str = "sample_index") -> DataFrame:
+def ragged_offsets(series: DataFrame, values: str = "entropies", key: str = "sample_index", width: int = 1024) -> DataFrame:
     """(key, len, off): lengths and running offsets of a flat layout, by key.
 
-    Offsets over all rows need one order; lengths alone are ranked, in 1024 key ranges whose sums come first.
+    Sums of ``width`` keys in a row, of ``width`` such sums and so on are added up level by level, so no window sees more
+    than ``width`` groups, but for the last level over ``width`` ** 3 keys each.
     """
     from pyspark.sql import Window
 
     sizes = series.select(key, F.size(values).cast("long").alias("len"))
-    part = sizes.withColumn("_p", F.floor(F.col(key) / F.lit(1024)))
-    sums = part.groupBy("_p").agg(F.sum("len").alias("_s")).withColumn("_before", F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
-    own = F.sum("len").over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")
-    return part.withColumn("_own", own).join(sums.select("_p", "_before"), "_p").select(key, "len", (F.col("_own") + F.col("_before")).cast("long").alias("off"))
+    rows = sizes.select(key, "len", *[F.floor(F.col(key) / F.lit(width**k)).cast("long").alias(f"_g{k}") for k in (1, 2, 3)])
+    level = rows.groupBy("_g1", "_g2", "_g3").agg(F.sum("len").alias("_s"))
+    running = lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    top = level.groupBy("_g3").agg(F.sum("_s").alias("_t")).withColumn("_o3", running("_t", Window.orderBy("_g3")))
+    middle = level.groupBy("_g2", "_g3").agg(F.sum("_s").alias("_t")).withColumn("_o2", running("_t", Window.partitionBy("_g3").orderBy("_g2")))
+    low = level.withColumn("_o1", running("_s", Window.partitionBy("_g2").orderBy("_g1")))
+    before = low.join(middle.select("_g2", "_o2"), "_g2").join(top.select("_g3", "_o3"), "_g3").select("_g1", (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_before"))
+    own = rows.withColumn("_own", running("len", Window.partitionBy("_g1").orderBy(key)))
+    return own.join(before, "_g1").select(key, "len", (F.col("_own") + F.col("_before")).cast("long").alias("off"))
 
 
 def read_through(cache: DataFrame, wanted: DataFrame, compute, key: str = "sample_index") -> DataFrame:
