@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ def cut(spark, strategy, hs):
     return [(r["start"], r["end"]) for r in out]
 
 
+# The spans of ``test_uniform`` to ``test_budget_without_sum_is_uniform`` and of ``test_compat_exponential``.
 def test_uniform(spark):
     assert cut(spark, patching.Uniform(ratio=8.0), [1] * 20) == [(0, 8), (8, 16), (16, 20)]
     assert cut(spark, patching.Uniform(ratio=1.5), [1] * 6) == [(0, 2), (2, 4), (4, 6)]
@@ -36,12 +38,28 @@ def test_budget_without_sum_is_uniform(spark):
     assert cut(spark, patching.Budget(ratio=4.0), [0] * 12) == [(0, 4), (4, 8), (8, 12)]
 
 
-def test_budget_patches_carry_like_sums(spark):
-    rng = random.Random(3)
-    hs = [rng.random() for _ in range(2000)]
-    budget = sum(hs) * 4 / len(hs)
-    spans = cut(spark, patching.Budget(ratio=4.0), hs)
-    assert all(0.5 * budget <= sum(hs[a:b]) <= 1.6 * budget for a, b in spans[1:-1])
+def starts_by_rule(kind, ratio, hs):
+    """Where spans start, straight from each strategy's rule."""
+    h = np.array(hs)
+    if kind == "entropy_threshold":
+        found = np.flatnonzero(h >= np.quantile(h, 1 - 1 / ratio))
+    elif kind == "entropy_diff":
+        rise = np.diff(h)
+        found = np.flatnonzero(rise > np.quantile(rise, 1 - 1 / ratio)) + 1
+    else:
+        total, budget = np.cumsum(h), h.sum() * ratio / len(h)
+        found = [max(1, int(np.argmax(total > k * budget))) for k in range(1, max(1, round(len(h) / ratio)))]
+    return sorted({0, *map(int, found)})
+
+
+@pytest.mark.parametrize("kind", ["entropy_threshold", "entropy_diff", "entropy_sum"])
+@pytest.mark.parametrize("ratio,seed", [(1.5, 1), (3.0, 2), (7.0, 3)])
+def test_starts_follow_the_rule(spark, kind, ratio, seed):
+    rng = random.Random(seed)
+    series = {k: [rng.expovariate(1) for _ in range(n)] for k, n in enumerate([2, 5, 42, 702])}  # quantiles between two values
+    out = patching.spans(rows(spark, series), patching.build(kind, ratio=ratio)).collect()
+    for k, hs in series.items():
+        assert sorted(r["start"] for r in out if r["sample_index"] == k) == starts_by_rule(kind, ratio, hs)
 
 
 @pytest.mark.parametrize("kind", ["entropy_threshold", "entropy_diff", "entropy_sum"])
@@ -51,15 +69,6 @@ def test_single_token_and_ratio(spark, kind):
         patching.build(kind, ratio=0.5)
 
 
-@pytest.mark.parametrize("kind", ["entropy_threshold", "entropy_diff", "entropy_sum"])
-@pytest.mark.parametrize("ratio", [2.0, 4.0, 8.0])
-def test_realised_ratio(spark, kind, ratio):
-    rng = random.Random(int(ratio))
-    n = 4000
-    spans = cut(spark, patching.build(kind, ratio=ratio), [rng.random() for _ in range(n)])
-    assert 0.75 * ratio <= n / len(spans) <= 1.35 * ratio
-
-
 @pytest.mark.parametrize("strategy", [patching.Single(), patching.Uniform(ratio=3.0), patching.Threshold(ratio=3.0), patching.Diff(ratio=3.0), patching.Budget(ratio=3.0), patching.Exponential(top=3)])
 def test_spans_partition_every_sequence(spark, strategy):
     rng = random.Random(1)
