@@ -191,8 +191,9 @@ def removed(spark, rows):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removals(docs(spark, rows)).collect())
 
 
-@pytest.mark.parametrize("block,portion,slice_bytes", [(0, 1 << 19, 2 << 20), (200, 70, 2 << 20), (32_768, 500, 10)])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, tmp_path, block, portion, slice_bytes):
+@pytest.mark.parametrize("block,portion,slice_bytes,hot", [(0, 1 << 19, 2 << 20, 500), (200, 70, 2 << 20, 1), (32_768, 500, 10, 3)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, tmp_path, block, portion, slice_bytes, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     monkeypatch.setattr(suffix_dedup, "PORTION", portion)
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
@@ -202,6 +203,23 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, tmp_path, block, p
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_spans(rows)
 
 
+def test_parts_of_contexts_hold_each_string_once():
+    """Equal strings get equal keys whatever surrounds them, and each string of a context lies in one part."""
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"abcd") for _ in range(400)) for _ in range(3)]
+    texts += [b"x" + texts[0][100:260] + b"y", texts[1][300:] + texts[0][100:180] + texts[2][:90]]
+    doc, lo, span, _, _, at = suffix_dedup.Anchors().find(texts)
+    keys = {}
+    for d, a, n, p in zip(doc.tolist(), lo.tolist(), span.tolist(), at.tolist()):
+        part = texts[d][a : a + n + 50]
+        seen = []
+        for key, x, y in suffix_dedup.split_context(part, p - a):
+            for q in range(x, y - 49):
+                seen.append(q)
+                assert keys.setdefault(part[q : q + 50], key) == key
+        assert sorted(seen) == list(range(n + 1))
+
+
 def test_suffix_dedup_rows_that_share_an_id(spark):
     one, two, three = rnd(31, 40), rnd(32, 40), rnd(33, 40)
     rows = [(1, one), (5, f"{one} {three}"), (5, f"x {two}"), (5, f"x {two}"), (6, two), (7, three), (None, one)]

@@ -10,7 +10,8 @@ bytes that they cover together. Contexts meet under their anchor:
 2. Where different contexts share an anchor, each string is fetched once, and a suffix array by linear grouping
    (``suffix_sort``) puts equal strings of 50 bytes side by side; runs of them give each its smallest document. A large
    group is first cut by halves of the anchor's place within the string, each half keyed by the bytes that all its
-   strings share, until the parts are small.
+   strings share, until the parts are small. An anchor of very many contexts is cut into four in the same way before
+   these are sent, so that they go over many tasks.
 
 Anchors travel packed: a task sends one row for each slice of the keys. The reducers get their slices in order, sorted by
 Spark, and hold one at a time; there are as many slices as the input's bytes ask for, so what a reducer holds does not
@@ -42,6 +43,8 @@ LENGTH, CORE = 50, 20
 FLUSH, BLOCK, IN_STEP = 400_000, 32_768, 1 << 20
 #: Bytes of text whose anchors are found at once (places have 24 bits), and bytes of input for each slice of the keys.
 PORTION, SLICE_BYTES = 1 << 19, 1 << 20
+#: An anchor of more contexts than this is split before its contexts are sent, by places of the anchor within the string.
+HOT, PLACES = 500, ((0, 7), (8, 15), (16, 23), (24, LENGTH - CORE))
 
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E6C63D0876A9A99 | 1)
@@ -229,17 +232,19 @@ def _numbers(data: bytes, count: int) -> np.ndarray:
 
 
 def settle(packed: DataFrame) -> DataFrame:
-    """(doc_id, no, lo, hi, key): bytes lo..hi are covered where key is null; else they are to be compared under the key."""
+    """(doc_id, no, lo, hi, key, hot): bytes lo..hi are covered where key is null; else they are to be compared under the
+    key, which has very many contexts where hot is true."""
 
     def unpack(row):
         docs = np.frombuffer(row["docs"], np.int64).copy() if row["base"] is None else np.frombuffer(row["docs"], np.uint32).astype(np.int64) + row["base"]
         return docs, _numbers(row["nos"], len(docs)), np.frombuffer(row["lo"], np.uint32).astype(np.int64), np.frombuffer(row["span"], np.uint8).astype(np.int64)
 
-    def out(doc, no, lo, span, key):
+    def out(doc, no, lo, span, key, hot=None):
         for at in range(0, len(doc), 100_000):
             to = slice(at, at + 100_000)
-            keys = pa.nulls(len(doc[to]), pa.int64()) if key is None else pa.array(key[to].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(no[to].astype(np.int32)), pa.array(lo[to].astype(np.int32)), pa.array((lo[to] + span[to] + LENGTH).astype(np.int32)), keys], names=["doc_id", "no", "lo", "hi", "key"])
+            none = key is None
+            more = [pa.nulls(len(doc[to]), pa.int64()) if none else pa.array(key[to].view(np.int64)), pa.nulls(len(doc[to]), pa.bool_()) if none else pa.array(hot[to])]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[to]), pa.array(no[to].astype(np.int32)), pa.array(lo[to].astype(np.int32)), pa.array((lo[to] + span[to] + LENGTH).astype(np.int32)), *more], names=["doc_id", "no", "lo", "hi", "key", "hot"])
 
     def run(batches):
         for rows in _runs(batches):
@@ -270,11 +275,22 @@ def settle(packed: DataFrame) -> DataFrame:
         yield from out(doc[covered], no[covered], lo[covered], span[covered], None)
         # several contexts under a key: fetch those of each context's smallest document
         key_no = np.cumsum(new_key) - 1
-        many = np.bincount(key_no[first])[key_no] > 1
-        ask = many & ~covered
-        yield from out(doc[ask], no[ask], lo[ask], span[ask], key[ask])
+        many = np.bincount(key_no[first])[key_no]
+        ask = (many > 1) & ~covered
+        yield from out(doc[ask], no[ask], lo[ask], span[ask], key[ask], many[ask] > HOT)
 
-    return packed.mapInArrow(run, "doc_id long, no int, lo int, hi int, key long")
+    return packed.mapInArrow(run, "doc_id long, no int, lo int, hi int, key long, hot boolean")
+
+
+def split_context(part: bytes, anchor: int):
+    """(key, start, end) of a context's parts by the anchor's place within the string; the key stands for the bytes that
+    all strings of a part share."""
+    import xxhash
+
+    for near, far in PLACES:
+        lo, hi = max(0, anchor - far), min(len(part), anchor - near + LENGTH)
+        if hi - lo >= LENGTH:
+            yield xxhash.xxh3_64_intdigest(part[anchor - near : anchor - far + LENGTH], seed=near + 1), lo, hi
 
 
 def contexts(docs: DataFrame, asked: DataFrame, slices: Slices) -> DataFrame:
@@ -283,9 +299,25 @@ def contexts(docs: DataFrame, asked: DataFrame, slices: Slices) -> DataFrame:
 
     def run(batches):
         keys, ids, nos, los, parts, held = [], [], [], [], [], 0
+        hot: list[tuple[int, int, int, bytes]] = []
+
+        def spread():
+            """Contexts of hot anchors, cut by the anchor's place; all strings of a context have one anchor."""
+            found = _FINDER.find([x[3] for x in hot])
+            anchors = found[5][np.searchsorted(found[0], np.arange(len(hot)))].tolist()
+            for (i, no, at, part), anchor in zip(hot, anchors, strict=True):
+                for key, lo, hi in split_context(part, anchor):
+                    keys.append(key)
+                    ids.append(i)
+                    nos.append(no)
+                    los.append(at + lo)
+                    parts.append(part[lo:hi])
+            hot.clear()
 
         def flush():
-            k = np.array(keys, np.int64).view(np.uint64)
+            if hot:
+                spread()
+            k = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
             b = slices.of(k)
             order = np.argsort(b, kind="stable")
             full, cuts, where = slices.rows(b[order])
@@ -299,6 +331,9 @@ def contexts(docs: DataFrame, asked: DataFrame, slices: Slices) -> DataFrame:
         for b in batches:
             for i, no, t, ask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for a in ask:
+                    if a["hot"]:
+                        hot.append((i, no, a["lo"], t[a["lo"] : a["hi"]]))
+                        continue
                     keys.append(a["key"])
                     ids.append(i)
                     nos.append(no)
@@ -395,6 +430,8 @@ def compare(packed: DataFrame) -> DataFrame:
             small: list = []
             who = (rank * many + no).tolist()  # document first, then its text's number
             for x, y in zip(first[:-1], first[1:], strict=True):
+                if doc[order[x]] == doc[order[y - 1]]:  # one document's
+                    continue
                 idx = order[x:y].tolist()
                 _deal([parts[i] for i in idx], [who[i] for i in idx], [place[i] for i in idx], many, small, emit)
             compare_blocks(small, many, emit)
@@ -473,7 +510,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         plan = (
             settle(slices.deal(packed_anchors(docs, slices)))
             .groupBy("doc_id", "no")
-            .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
+            .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi", "hot"))).alias("ask"))
             .checkpoint()
         )
         asked = plan.where(F.size("ask") > 0).select("doc_id", "no", "ask")
