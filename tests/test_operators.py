@@ -156,3 +156,12 @@ def test_box_whiskers(spark):
     xs = [1.0, 2.0, 3.0, 4.0, 100.0]
     r = reporting.box_stats(spark.createDataFrame([("m", x) for x in xs], "method string, v double"), "v").first()
     assert (r.whisker_lo, r.whisker_hi, r.fliers) == (1.0, 4.0, 1)
+
+
+def test_token_sink_writes_each_row_once(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for k in range(2):
+        spark.createDataFrame([("a", 1, k, 7, -1.0 - k)], "method string, sample_index long, token_index int, token_id int, logprob double").write.mode("append").json(source)
+        stream.write_tokens(stream.read_token_stream(spark, source), out, state)
+        stream.write_tokens(stream.read_token_stream(spark, source), out, state)
+        assert sorted(r.logprob for r in spark.read.json(out).collect()) == [-1.0 - x for x in reversed(range(k + 1))]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,4 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = sc.getConf().get("spark.checkpoint.dir")
     if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelens-ckpt-"))
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="tracelens-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)

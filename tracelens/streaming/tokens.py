@@ -24,3 +24,9 @@ def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def write_tokens(tokens: DataFrame, folder: str, checkpoint: str) -> None:
+    """Appends the rows that are there to JSON files as they come; what was written once is not written again."""
+    q = tokens.writeStream.outputMode("append").format("json").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
