@@ -2,16 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
 documents. All but the last return the columns of documents; the last adds ``mix_copy``, the number of the copy.
+
+Defined cases: null and empty texts are not toxic, near nothing, lose nothing and hit nothing, so they reach the mixture,
+where a source without any word takes none of its documents; rows without an id pass the second and third stage as they
+are and the others by their texts; rows repeated in full stay together through the first four stages; texts that share an
+id are judged each by itself; empty tables give an empty result; further columns pass, whatever their names, and the last
+stage's column gives way to one of its name; texts of any length are worked on as a whole.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import decontam, jaccard, mixing, suffix_dedup, toxicity
+from tracelens.llm.common import SharedTables
 from tracelens.session import ensure_checkpoint_dir
 
 
@@ -50,15 +55,17 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The machine of the first stage and the components of the second are beyond SQL; the tests hold ``run`` against brute force.
+#: The machine of the first stage is beyond SQL; ``tests/llm/test_queries.py`` holds ``run`` against brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture; the stages' tables lie in the shared folder until it is checkpointed."""
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
+    tables = SharedTables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+        docs = tables.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+    out = docs.checkpoint()
+    tables.drop()
+    return out
