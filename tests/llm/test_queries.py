@@ -113,6 +113,18 @@ def test_op4_op6_op7(spark, sf):
     assert {tuple(r[c] for c in ("doc_id", "held_out", "lang_pred", "score")) for r in got(spark, sf, "op7_language_id")} == want and len(want) == len(rows)
 
 
+def test_held_out_accuracy(spark):
+    """Rows that nothing was learned from, of the generated tables."""
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    out = [r for r in got(spark, sf, "op7_language_id") if r.held_out and lang[r.doc_id]]
+    assert len(out) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.95 * len(out)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [r for r in got(spark, sf, "op1_toxicity") if r.held_out and r.doc_id in toxic]
+    bad, good = ([r for r in out if toxic[r.doc_id] == y] for y in (1, 0))
+    assert len(bad) > 10 and sum(r.predicted for r in bad) >= 0.7 * len(bad) and sum(r.predicted for r in good) <= 0.03 * len(good)
+
+
 def test_op8(spark, sf):
     out = got(spark, sf, "op8_warc_derivatives")
     assert sorted((r.page_id, r.record_type) for r in out) == [(k, t) for k in (1, 2) for t in ("conversion", "metadata")]
