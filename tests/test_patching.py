@@ -105,3 +105,41 @@ def test_compat_covers(n, sample, top):
 def test_unknown_strategy():
     with pytest.raises(ValueError):
         patching.build("fancy")
+
+
+#: One user's values whose rises have a quantile that differs from a rise in its last bit, by the way it is interpolated.
+CLOSE = [42.22, 7.26, 4.97, 12.57, 51.74, 11.96, 94.5, 16.21, 9.11, 3.35, 31.74, 65.93, 25.09, 21.53, 20.72, 17.93, 19.46, 17.4, 153.12, 12.67, 88.56, 34.98, 49.56, 48.39, 88.08, 79.89, 32.19, 3.16, 58.36, 53.47, 24.47, 22.81, 28.56, 65.0, 21.8, 24.55, 2.87, 37.06, 32.76, 107.52, 26.92, 55.2, 74.56, 43.36, 30.33, 59.44, 51.09, 5.85, 6.08, 35.15, 59.73, 56.46, 86.71, 39.25, 30.3, 86.15, 16.08, 93.77, 4.28, 50.32, 1.88, 47.71, 4.89, 129.9, 50.06, 112.5, 6.41, 116.32, 7.8, 41.93, 89.41, 33.76, 62.08, 140.01, 29.0, 12.79, 67.24]
+
+
+@pytest.mark.parametrize("name", ["patch_diff", "realised_ratio_by_strategy"])
+def test_rises_equal_to_their_quantile_match_sql(spark, tmp_path, name):
+    import duckdb
+    from tracelens.plans import catalogue
+
+    c = duckdb.connect()
+    c.execute("create table events as select i as event_id, make_timestamp(i * 1000000) as ts, 7::bigint as user_id, 'a' as event_type, v as value from (select unnest(range(0, ?)) as i, unnest(?::double[]) as v)", [len(CLOSE), CLOSE])
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    sql = c.execute(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(sql)
+
+
+def test_fused_rounds_once(spark):
+    import math
+
+    from pyspark.sql import functions as F
+    from tracelens.functions.numeric import fused
+
+    rng = random.Random(3)
+    data = [(22.07, 0.25, 24.76 * 0.75)] + [(rng.uniform(-99, 99), rng.choice([0.25, 0.75, 0.3]), rng.uniform(-99, 99)) for _ in range(500)]
+    got = spark.createDataFrame(data, "a double, b double, c double").select("a", "b", "c", fused(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert all(r["x"] == math.fma(r["a"], r["b"], r["c"]) for r in got) and any(r["x"] != r["a"] * r["b"] + r["c"] for r in got)
+
+
+def test_budget_is_the_one_of_the_cuts(spark):
+    hs = [1e16, *[1.0] * 40, 3.0, 1e15]
+    out = patching.Budget(ratio=4.0).with_budget(rows(spark, {0: hs}).repartition(7)).select("_budget").distinct().collect()
+    total = 0.0
+    for h in hs:
+        total += h
+    assert [r[0] for r in out] == [total * 4.0 / len(hs)]

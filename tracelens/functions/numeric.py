@@ -1,8 +1,8 @@
-"""Scalar and array expressions."""
+"""Scalar and array expressions, and a quantile over windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed grid of the log-probability sketch: bins of 0.01 from -30 to 0.
@@ -74,6 +74,39 @@ def attention_mask(length: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), width.cast("int")), lambda i: (i <= length).cast("int"))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """x as a sum of two numbers of half the digits each."""
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    return high, x - high
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding at the end, from what the product and the sum lose."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    p = a * b
+    s = p + c
+    back = s - p
+    lost = al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+    exact = s + (((p - (s - back)) + (c - back)) + lost)
+    return F.when((F.abs(a) < 1e150) & (F.abs(b) < 1e150) & (F.abs(c) < 1e150), exact).otherwise(s)
+
+
+def with_quantile(rows: DataFrame, value: str, q: float, key: str, name: str) -> DataFrame:
+    """rows with the quantile of a column over all rows of their key, nulls left out.
+
+    It is interpolated as the catalogue's SQL engine does it: the lower neighbour's share is added by a fused
+    multiplication, whose last bit decides about rows that are as good as equal to the quantile.
+    """
+    whole = Window.partitionBy(key)
+    x = rows.withColumn("_at", (F.count(value).over(whole) - 1) * F.lit(float(q)))
+    x = x.withColumn("_place", F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last())) - 1)
+    x = x.select("*", *[F.max(F.when(F.col("_place") == f("_at"), F.col(value))).over(whole).alias(k) for k, f in (("_low", F.floor), ("_high", F.ceil))])
+    d = F.col("_at") - F.floor("_at")
+    cut = F.when(d == 0, F.col("_low")).otherwise(fused(F.col("_low"), 1 - d, F.col("_high") * d))
+    return x.withColumn(name, cut).drop("_at", "_place", "_low", "_high")
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(x, digits) + F.lit(0.0)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.functions.numeric import half_even, hash_bucket, number_tag
+from tracelens.functions.numeric import half_even, hash_bucket, number_tag, with_quantile
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ class Diff(Strategy):
 
     def apply(self, rows):
         rise = rows.withColumn("_rise", F.col(self.h) - F.lag(self.h).over(self.order))
-        cut = rise.withColumn("_cut", F.percentile("_rise", F.lit(1 - 1 / self.ratio)).over(self.whole))
+        cut = with_quantile(rise, "_rise", 1 - 1 / self.ratio, self.key, "_cut")
         return self._from_starts(cut, F.col("_rise") > F.col("_cut")).drop("_rise", "_cut")
 
 
@@ -136,6 +136,10 @@ class Budget(Strategy):
         return f"entropy_sum_cr{number_tag(self.ratio)}"
 
     def apply(self, rows):
+        return self.with_budget(rows).drop("_budget")
+
+    def with_budget(self, rows: DataFrame) -> DataFrame:
+        """The rows with their span's number and the ``_budget`` that it was cut by."""
         size = max(1, half_even(self.ratio))
         running = self.order.rowsBetween(Window.unboundedPreceding, 0)
         x = rows.withColumn("_cum", F.sum(self.h).over(running)).withColumn("_n", F.count(F.lit(1)).over(self.whole))
@@ -146,7 +150,7 @@ class Budget(Strategy):
         x = x.withColumn("_passed", F.when(F.col("_total") > 0, passed))
         before = F.lag("_passed").over(self.order)
         start = F.when(F.col("_total") > 0, (F.col("_passed") > before) | ((F.col(self.pos) == 1) & (before >= 1))).otherwise(F.pmod(F.col(self.pos), F.lit(size)) == 0)
-        return self._from_starts(x, start).drop("_cum", "_n", "_total", "_budget", "_passed")
+        return self._from_starts(x, start).drop("_cum", "_n", "_total", "_passed")
 
 
 @dataclass(frozen=True)
