@@ -117,9 +117,8 @@ p as (select *, (sum(st) over (partition by sample_index order by pos) - 1)::int
 select sample_index, patch, round(sum(h) / any_value(budget), 4) + 0.0 as share from p group by all""")
 def _(spark, sf_dir):
     ev = tables.entropy_series(spark, sf_dir)
-    budget = ev.groupBy("sample_index").agg((F.sum("h") * 4.0 / F.count("*")).alias("budget"))
-    p = patching.Budget(ratio=4.0).apply(ev).groupBy("sample_index", "patch").agg(F.sum("h").alias("h"))
-    return p.join(budget, "sample_index").select("sample_index", "patch", rounded(F.col("h") / F.col("budget"), 4).alias("share"))
+    p = patching.Budget(ratio=4.0).with_budget(ev).groupBy("sample_index", "patch").agg(F.sum("h").alias("h"), F.first("_budget").alias("budget"))
+    return p.select("sample_index", "patch", rounded(F.col("h") / F.col("budget"), 4).alias("share"))
 
 
 @query("entropy_windows", f"""with {EV} select sample_index, pos, round(h - lag(h) over w, 6) + 0.0 as rise, round(sum(h) over (partition by sample_index order by pos rows unbounded preceding), 4) + 0.0 as cum,
