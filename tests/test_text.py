@@ -114,3 +114,14 @@ def test_load_or_build(spark, tmp_path):
     assert calls == [1]
     with pytest.raises(ValueError):
         corpus.load_or_build(spark, str(tmp_path / "c"), build, {"train": 5})
+
+
+def test_places_are_made_in_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = [None if k % 7 == 3 else " ".join(["ab", "c"] * (k % 5)) for k in range(3 * T.PLACED_ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    out = T.settled(df, o=T.word_offsets(F.col("t"))).orderBy("k").collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    for text, r in zip(texts, out, strict=True):
+        assert r.o is None if text is None else [x.token for x in r.o] == text.split() and all(text[x.start : x.end] == x.token for x in r.o)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tracelens.session import bounded_batches
+
 OPEN, CLOSE = "<think>", "</think>"
 PLACEHOLDER = "<|slot|>"
 IGNORE = -100
@@ -74,10 +77,43 @@ def render(messages: Column, generation_prompt: bool = False) -> Column:
 
 
 #: Places in a text are found by one pass over it. A fold over an array copies what it has at every step, so its time
-#: grows with the square of the words; an Arrow function over batches of rows does not.
+#: grows with the square of the words; an Arrow function over batches of rows does not. Texts and places become Python
+#: objects for so many rows at a time, which bounds a worker whatever the batch.
+PLACED_ROWS = 32
+
+
+def _placed(name: str, rows) -> pa.Array:
+    """Rows of (name, start, end) triples, or None, as an array of lists of structs."""
+    names, starts, ends, cuts = [], [], [], []
+    for places in rows:
+        cuts.append(None if places is None else len(names))
+        for label, start, end in places or ():
+            names.append(label)
+            starts.append(start)
+            ends.append(end)
+    item = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[name, "start", "end"])
+    return pa.ListArray.from_arrays(pa.array([*cuts, len(names)], pa.int32()), item)
+
+
 def _places(name: str):
     kind = ArrayType(StructType([StructField(name, StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
-    return lambda f: F.udf(f, kind, useArrow=True)
+
+    def column(f):
+        def batch(columns) -> pa.Array:
+            n = len(columns[0])
+            parts = (zip(*(c.slice(at, PLACED_ROWS).to_pylist() for c in columns), strict=True) for at in range(0, n, PLACED_ROWS))
+            out = [_placed(name, (f(*row) for row in part)) for part in parts]
+            return pa.concat_arrays(out) if out else _placed(name, ())
+
+        def one(a: pa.Array) -> pa.Array:
+            return batch([a])
+
+        def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return batch([a, b, c])
+
+        return F.arrow_udf(three if f.__code__.co_argcount == 3 else one, kind)
+
+    return column
 
 
 @_places("role")
@@ -89,7 +125,7 @@ def _spans_of(roles: list[str] | None, contents: list[str] | None, rendered: str
         at = -1 if content is None else rendered.find(content, cursor)
         if at >= 0:
             cursor = at + len(content)
-        out.append({"role": role, "start": at, "end": cursor if at >= 0 else -1})
+        out.append((role, at, cursor if at >= 0 else -1))
     return out
 
 
@@ -139,7 +175,7 @@ _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 @_places("token")
 def _offsets_of(text: str | None):
-    return None if text is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in _WORD.finditer(text)]
+    return None if text is None else ((m[0], m.start(), m.end()) for m in _WORD.finditer(text))
 
 
 def word_offsets(text: Column) -> Column:
@@ -152,7 +188,7 @@ _MARKED = re.compile(r"<\|\w+\|>|</?think>|[^ \t\n\x0b\f\r<]+|<")
 
 @_places("token")
 def _marked_of(text: str | None):
-    return None if text is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in _MARKED.finditer(text)]
+    return None if text is None else ((m[0], m.start(), m.end()) for m in _MARKED.finditer(text))
 
 
 def marked_offsets(text: Column) -> Column:
@@ -201,5 +237,6 @@ def settled(rows, **columns: Column):
     Catalyst merges projections, so an expression that a lambda refers to would be evaluated for every element. A
     generator is not merged: each expression is evaluated once a row.
     """
+    bounded_batches(rows.sparkSession)
     packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_settled")
     return rows.select("*", packed).select(*[F.col(c) for c in rows.columns if c not in columns], *[F.col(f"_settled.{k}").alias(k) for k in columns])

@@ -30,6 +30,13 @@ def get_session(app: str = "tracelens", cpus: int | str | None = None, shuffle_p
     return spark
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Bound an Arrow batch by rows and bytes: 10,000 chats in one, which is Spark's default, are tens of MB of text and
+    many times that as tokens. Spark reads these settings when the plan runs, so they stay set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of ``spark.checkpoint.dir``; make a local one only where it is unset (tests)."""
     sc = spark.sparkContext
