@@ -774,3 +774,20 @@ def test_even_labels_fill_each_partition_once(spark):
     for n in (1, 5, 37):
         df = spark.createDataFrame([(k,) for k in even_labels(n)], "bucket int").repartition(n, "bucket")
         assert [r.p for r in df.select("bucket", F.spark_partition_id().alias("p")).orderBy("p").collect()] == list(range(n))
+
+
+def test_suffix_dedup_slices_get_equal_shares(spark):
+    """Anchors are least hashes, yet no slice has more than its share of them; the keys' upper halves are enough to send."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(200_000)).encode()
+    key = suffix_dedup.Anchors().find([text])[3]
+    slices = suffix_dedup.Slices(50, None)
+    number = slices.of(key)
+    shares = np.bincount(number, minlength=slices.count)
+    assert shares.max() < 2 * shares.mean()
+    back = np.concatenate([slices.key((key[number == k] >> np.uint64(32)).astype(np.uint32), k) for k in range(slices.count)])
+    assert (slices.of(back) == np.sort(number)).all() and suffix_dedup.Slices(4, 1 << 30).tasks >= 128

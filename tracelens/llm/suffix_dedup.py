@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import even_labels, fresh_name, input_bytes, map_batches, small_batches, tidy_shuffles
+from tracelens.llm.common import RANGE_BYTES, even_labels, fresh_name, input_bytes, map_batches, small_batches, tidy_shuffles
 from tracelens.llm.jaccard import _mix
 from tracelens.llm.suffix_sort import _ranges, suffix_arrays
 from tracelens.session import ensure_checkpoint_dir
@@ -40,6 +40,8 @@ from tracelens.session import ensure_checkpoint_dir
 LENGTH, CORE = 50, 20
 #: Anchors that a task gathers before it hands them to the shuffle; bytes of a suffix array at most; bytes sorted in step.
 FLUSH, BLOCK, IN_STEP = 400_000, 32_768, 1 << 20
+#: Bytes of blocks that a task gathers from its slices before it compares them; texts that one id may have at most.
+GATHER, MANY = 8 << 20, 1 << 31
 #: Bytes of text whose anchors are found at once (places have 24 bits), and bytes of input for each slice of the keys.
 PORTION, SLICE_BYTES = 1 << 19, 1 << 20
 
@@ -47,6 +49,7 @@ _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x9E6C63D0876A9A99 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _PLACE = np.uint64((1 << 24) - 1)
+_HALF = np.uint64((1 << 32) - 1)
 
 
 class Anchors:
@@ -130,15 +133,36 @@ def _bytes(x: np.ndarray, cuts: np.ndarray, rows: list[int]) -> pa.Array:
     return pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())
 
 
+def _planed(x: np.ndarray, cuts: np.ndarray, rows: list[int]) -> pa.Array:
+    """As ``_bytes``, but all first bytes come before all second ones: the upper bytes of small numbers are a run of 0."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize)
+    return pa.array([planes[cuts[i] : cuts[i + 1]].T.tobytes() for i in rows], pa.binary())
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 class Slices:
-    """Keys are dealt to slices by value, and runs of ``each`` slices to the same task."""
+    """Keys are dealt to slices by their lower half, and runs of ``each`` slices to the same task.
+
+    Anchors are least hashes, so their upper halves lie close to 0 and would fill the first slices. As the slice stands
+    for the lower half, the upper half is all of a key that is sent; keys that only differ in what is lost meet as one,
+    which ``compare`` tells apart.
+    """
 
     def __init__(self, tasks: int, size: int | None):
+        tasks = max(tasks, -(-(size or 0) // RANGE_BYTES))
         self.each = max(1, -(-(size or 0) // (SLICE_BYTES * tasks)))
         self.tasks, self.count, self.labels = tasks, tasks * self.each, even_labels(tasks)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(self.count) >> np.uint64(32)).astype(np.int64)
+        return ((keys & _HALF) * np.uint64(self.count) >> np.uint64(32)).astype(np.int64)
+
+    def key(self, upper: np.ndarray, number: int) -> np.ndarray:
+        """Keys of a slice from their upper halves."""
+        return upper.astype(np.uint64) << np.uint64(32) | np.uint64(-(-(number << 32) // self.count))
 
     def rows(self, slices: np.ndarray) -> tuple[list[int], np.ndarray, list[pa.Array]]:
         """From sorted slice numbers: the slices that have any, where each begins, and the columns (bucket, slice)."""
@@ -164,13 +188,18 @@ def _runs(batches, column: str = "slice"):
         yield held
 
 
-_PACKED = "bucket int, slice long, keys binary, ctx binary, docs binary, nos binary, lo binary, span binary, base long"
+_PACKED = "bucket int, slice long, keys binary, ctx binary, docs binary, nos binary, lo binary, span binary, base long, wide boolean"
 
 
 def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
     """Anchors by slice; rows without keys hold contexts already settled within the task (docs, lo, span)."""
     small_batches(docs.sparkSession)
 
+    def steps(x, cuts, full):
+        out = np.diff(x, prepend=0)
+        out[cuts[full]] = x[cuts[full]]
+        return out
+
     def run(batches):
         finder = Anchors()
         held: list[tuple] = []
@@ -185,7 +214,7 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
             settled = doc > least
             base = int(doc.min())
             wide = np.int64 if int(doc.max()) - base >= 1 << 32 else np.uint32
-            # grouped by slice, by document within: neighbours compress
+            # grouped by slice, by document within, each of these as its distance to the one before
             for rows, sign in ((np.flatnonzero(settled), -1), (np.flatnonzero(~settled), 1)):
                 if not len(rows):
                     continue
@@ -197,15 +226,16 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *where,
-                        _bytes(key[rows], cuts, full) if sign > 0 else empty,
+                        _bytes((key[rows] >> np.uint64(32)).astype(np.uint32), cuts, full) if sign > 0 else empty,
                         _bytes(ctx[rows], cuts, full) if sign > 0 else empty,
-                        _bytes((doc[rows] - base).astype(wide), cuts, full),
+                        _planed(steps(doc[rows] - base, cuts, full).astype(wide), cuts, full),
                         _bytes(no[rows], cuts, full) if no[rows].any() else empty,
-                        _bytes(lo[rows], cuts, full),
+                        _planed(lo[rows], cuts, full),
                         _bytes(span[rows], cuts, full),
-                        pa.array([base if wide is np.uint32 else None] * len(full), pa.int64()),
+                        pa.array([base] * len(full), pa.int64()),
+                        pa.array([wide is np.int64] * len(full), pa.bool_()),
                     ],
-                    names=["bucket", "slice", "keys", "ctx", "docs", "nos", "lo", "span", "base"],
+                    names=["bucket", "slice", "keys", "ctx", "docs", "nos", "lo", "span", "base", "wide"],
                 )
 
         for batch in batches:
@@ -228,12 +258,12 @@ def _numbers(data: bytes, count: int) -> np.ndarray:
     return np.frombuffer(data, np.int32).astype(np.int64) if data else np.zeros(count, np.int64)
 
 
-def settle(packed: DataFrame) -> DataFrame:
+def settle(packed: DataFrame, slices: Slices) -> DataFrame:
     """(doc_id, no, lo, hi, key): bytes lo..hi are covered where key is null; else they are to be compared under the key."""
 
     def unpack(row):
-        docs = np.frombuffer(row["docs"], np.int64).copy() if row["base"] is None else np.frombuffer(row["docs"], np.uint32).astype(np.int64) + row["base"]
-        return docs, _numbers(row["nos"], len(docs)), np.frombuffer(row["lo"], np.uint32).astype(np.int64), np.frombuffer(row["span"], np.uint8).astype(np.int64)
+        docs = np.cumsum(_unplaned(row["docs"], np.int64 if row["wide"] else np.uint32).astype(np.int64)) + row["base"]
+        return docs, _numbers(row["nos"], len(docs)), _unplaned(row["lo"], np.uint32).astype(np.int64), np.frombuffer(row["span"], np.uint8).astype(np.int64)
 
     def out(doc, no, lo, span, key):
         for at in range(0, len(doc), 100_000):
@@ -248,7 +278,7 @@ def settle(packed: DataFrame) -> DataFrame:
                 if not row["keys"]:
                     yield from out(*unpack(row), None)
                 else:
-                    held.append((*unpack(row), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["ctx"], np.uint64)))
+                    held.append((*unpack(row), slices.key(np.frombuffer(row["keys"], np.uint32), row["slice"]), np.frombuffer(row["ctx"], np.uint64)))
             if held:
                 yield from meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -368,6 +398,24 @@ def compare(packed: DataFrame) -> DataFrame:
     """(doc_id, no, at): starts of strings of LENGTH bytes that a smaller document has."""
 
     def run(batches):
+        # blocks of several slices at a time: the more of one size, the less each costs
+        small: list = []
+        ids_of: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        count = held = 0
+
+        def emit(d, p):
+            found.append((d, p))
+
+        def flush():
+            compare_blocks(small, MANY, emit)
+            ids = np.concatenate(ids_of) if ids_of else np.empty(0, np.int64)
+            if found:
+                d, p = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+                for at in range(0, len(d), 100_000):
+                    to = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d[to] // MANY]), pa.array((d[to] % MANY).astype(np.int32)), pa.array(p[to].astype(np.int32))], names=["doc_id", "no", "at"])
+
         for rows in _runs(batches):
             keys, docs, nos, los, parts = [], [], [], [], []
             for row in rows:
@@ -380,31 +428,26 @@ def compare(packed: DataFrame) -> DataFrame:
                 data = row["data"]
                 parts += [data[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
             key, doc, no, lo = (np.concatenate(x) for x in (keys, docs, nos, los))
-            # a row's number stands for it below, in the order of the ids
+            # a row's number stands for it below, in the order of the ids within its slice
             ids, rank = np.unique(doc, return_inverse=True)
             place = lo.tolist()
             order = np.lexsort((doc, key))
             k = key[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist() + [len(k)]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            many = int(no.max()) + 1 if len(no) else 1
-
-            def emit(d, p):
-                found.append((d, p))
-
-            small: list = []
-            who = (rank * many + no).tolist()  # document first, then its text's number
+            who = ((rank + count) * MANY + no).tolist()  # document first, then its text's number
+            before = len(small)
             for x, y in zip(first[:-1], first[1:], strict=True):
                 if doc[order[x]] == doc[order[y - 1]]:  # one document's
                     continue
                 idx = order[x:y].tolist()
-                _deal([parts[i] for i in idx], [who[i] for i in idx], [place[i] for i in idx], many, small, emit)
-            compare_blocks(small, many, emit)
-            if found:
-                d, p = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-                for at in range(0, len(d), 100_000):
-                    to = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[d[to] // many]), pa.array((d[to] % many).astype(np.int32)), pa.array(p[to].astype(np.int32))], names=["doc_id", "no", "at"])
+                _deal([parts[i] for i in idx], [who[i] for i in idx], [place[i] for i in idx], MANY, small, emit)
+            ids_of.append(ids)
+            count += len(ids)
+            held += sum(len(t) for texts, _, _ in small[before:] for t in texts) + 8 * len(ids) + sum(16 * len(d) for d, _ in found)
+            if held > GATHER:
+                yield from flush()
+                small, ids_of, found, count, held = [], [], [], 0, 0
+        yield from flush()
 
     return packed.mapInArrow(run, "doc_id long, no int, at int")
 
@@ -473,7 +516,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     packed_span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
     with tidy_shuffles(spark):
         plan = (
-            settle(slices.deal(packed_anchors(docs, slices)))
+            settle(slices.deal(packed_anchors(docs, slices)), slices)
             .groupBy("doc_id", "no")
             .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
             .checkpoint()
