@@ -100,3 +100,14 @@ def test_methods_of_one_ratio_have_no_scatter(spark):
     s = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 2.0), ("b", None, 1.0)], "method string, r double, y double")
     assert {(r.method, r.n, r.varies) for r in reporting.scatter_points(s, "r", "y")[1].collect()} == {("a", 2, False), ("b", 2, True)}
     assert {r.method for r in reporting.varying_points(s, "r", "y").collect()} == {"b"}
+
+
+def test_pooled_dimensions_are_not_shuffled(spark):
+    from tracelens.operators import pooling
+
+    rows = spark.createDataFrame([(1, 0, 5, 1.0), (1, 0, 6, 2.0), (1, 1, 5, 1.0)], "sample_index long, patch int, token_id long, w double")
+    vectors = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "token_id long, vector array<double>")
+    out = pooling.pool(rows, vectors)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Generate posexplode")[0]
+    assert "Exchange" not in above and "Join" not in above
+    assert sorted((r.patch, r.dim, round(r.x, 6)) for r in out.collect()) == [(0, 0, 0.447214), (0, 1, 0.894427), (1, 0, 1.0), (1, 1, 0.0)]

@@ -36,10 +36,12 @@ def pool(rows: DataFrame, vectors: DataFrame, key: str = "sample_index", token:
     Rows of one token in a patch are added up before vectors are attached; vectors is (token_id, vector).
     """
     norm = rows.groupBy(key, "patch").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    tokens = rows.groupBy(key, "patch", token).agg(F.sum("w").alias("w"))
-    spread = tokens.join(vectors, token).select(key, "patch", "w", F.posexplode("vector").alias("dim", "v"))
-    summed = spread.groupBy(key, "patch", "dim").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("x"))
-    return summed.join(norm, [key, "patch"]).select(key, "patch", "dim", (F.col("x") / F.col("norm")).alias("x"))
+    tokens = rows.groupBy(key, "patch", token).agg(F.sum("w").alias("w")).join(norm, [key, "patch"])
+    # a patch's vectors meet whole and are spread out there: a row for each dimension is never shuffled or sorted
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or tasks would be joined by what comes in
+    met = tokens.join(vectors, token).select(key, "patch", "w", "norm", "vector").repartition(n, key, "patch")
+    spread = met.select(key, "patch", "w", "norm", F.posexplode("vector").alias("dim", "v"))
+    return spread.groupBy(key, "patch", "dim").agg((F.sum(F.col("w") * F.col("v").cast("double")) / F.first("norm")).alias("x"))
 
 
 def as_vectors(pooled: DataFrame, key: str = "sample_index") -> DataFrame:
