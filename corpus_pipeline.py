@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import decontam, jaccard, mixing, suffix_dedup, toxicity
-from tracelens.llm.common import SharedTables
+from tracelens.llm.common import SharedTables, tidy_shuffles
 from tracelens.session import ensure_checkpoint_dir
 
 
@@ -60,12 +60,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture; the stages' tables lie in the shared folder until it is checkpointed."""
+    """The mixture, checkpointed; a stage's table lies in the shared folder until the next stage is through, and its
+    shuffle files go when it ends."""
     ensure_checkpoint_dir(spark)
     tables = SharedTables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        docs = tables.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
-    out = docs.checkpoint()
+        out = stage(spark, docs, sf_dir)
+        with tidy_shuffles(spark):
+            docs = out.checkpoint() if k == len(STAGES) - 1 else tables.keep(out, f"{k}-{name}")
+        if last:
+            tables.drop(last)
+        last = f"{k}-{name}"
     tables.drop()
-    return out
+    return docs

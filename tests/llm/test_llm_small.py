@@ -791,3 +791,43 @@ def test_suffix_dedup_slices_get_equal_shares(spark):
     assert shares.max() < 2 * shares.mean()
     back = np.concatenate([slices.key((key[number == k] >> np.uint64(32)).astype(np.uint32), k) for k in range(slices.count)])
     assert (slices.of(back) == np.sort(number)).all() and suffix_dedup.Slices(4, 1 << 30).tasks >= 128
+
+
+@pytest.mark.parametrize("portion,flush", [(1 << 19, 400_000), (300, 50)])
+def test_suffix_dedup_in_passes(spark, monkeypatch, tmp_path, portion, flush):
+    """Each pass has its share of the anchors, and together they give the whole result."""
+    monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 0)
+    monkeypatch.setattr(suffix_dedup, "PASSES", 3)
+    monkeypatch.setattr(suffix_dedup, "PORTION", portion)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    rows = copies() + [(80, copies()[0][1] * 5), (81, None), (None, copies()[0][1])]
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    got = suffix_dedup.removals(read).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_spans(rows)
+    numbered, slices = suffix_dedup._numbered(read), suffix_dedup.Slices(4, None)
+
+    def sent(*part):
+        return suffix_dedup.packed_anchors(numbered, slices, *part).select(F.sum(F.octet_length("span"))).first()[0]
+
+    parts = [sent(k, 3) for k in range(3)]
+    assert sum(parts) == sent() and max(parts) < 0.7 * sum(parts)
+
+
+def test_suffix_dedup_fetches_no_context_for_its_anchor_alone(spark):
+    """Texts that share an anchor of 20 bytes, as ever more do in a larger table, but no string of 50 bytes."""
+    many = rnd(7, 2000).encode()
+    found = suffix_dedup.Anchors().find([many])
+    at = int(found[5][np.argmin(found[3])])
+    core = many[at : at + suffix_dedup.CORE].decode()
+    rows = [(k, rnd(1000 + k, 20) + core + rnd(5000 + k, 20)) for k in range(40)]
+    shared = [(100, rnd(1, 20)[-25:] + core + rnd(5000, 20)), (101, rnd(1010, 20) + core + rnd(2, 20))]  # the right side of 0, the left one of 10
+    slices = suffix_dedup.Slices(4, None)
+
+    def asked(rows):
+        packed = suffix_dedup.packed_anchors(suffix_dedup._numbered(docs(spark, rows)), slices)
+        return {r.doc_id for r in suffix_dedup.settle(slices.deal(packed), slices).where("key is not null").collect()}
+
+    assert len(asked(rows)) <= 20
+    assert {0, 10, 100, 101} <= asked(rows + shared)
+    assert removed(spark, rows + shared) == brute_spans(rows + shared)

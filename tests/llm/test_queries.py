@@ -199,3 +199,22 @@ def test_pipeline_against_brute_force(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_copy"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_keeps_no_table_that_is_used_up(spark, sf, monkeypatch):
+    import os
+
+    from tracelens.llm.common import SharedTables
+
+    seen, keep = [], SharedTables.keep
+
+    def watched(self, df, name):
+        out = keep(self, df, name)
+        seen.append(sorted(os.listdir(self.folder.removeprefix("file:"))))
+        return out
+
+    monkeypatch.setattr(SharedTables, "keep", watched)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", lambda spark, docs, sf_dir: docs) for k in range(5)])
+    out = corpus_pipeline.run(spark, sf)
+    assert seen == [["0-s0"], ["0-s0", "1-s1"], ["1-s1", "2-s2"], ["2-s2", "3-s3"]]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").collect()), key=str)

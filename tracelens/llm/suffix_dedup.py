@@ -7,7 +7,10 @@ bytes that they cover together. Contexts meet under their anchor:
 
 1. Anchors with one document end there. Equal contexts are one string of many documents; all but those of its smallest
    document are covered whole.
-2. Where different contexts share an anchor, each string is fetched once, and a suffix array by linear grouping
+2. Where different contexts share an anchor, a string that two of them share starts at least 15 bytes before the anchor
+   or at most as many: it has the 15 bytes before the anchor or the 15 bytes after it, and a hash of a byte for each
+   side says which contexts may share one. The more texts there are, the more of them have an anchor in common by chance,
+   and the sides tell these apart. Each string that is left is fetched once, and a suffix array by linear grouping
    (``suffix_sort``) puts equal strings of 50 bytes side by side; runs of them give each its smallest document. A large
    group is first cut by halves of the anchor's place within the string, each half keyed by the bytes that all its
    strings share, until the parts are small.
@@ -17,6 +20,9 @@ Spark, and hold one at a time; there are as many slices as the input's bytes ask
 grow with the input. A context that a task has met in a smaller document is settled there and not sent, so copies cost
 one row a task. Texts are taken by PORTION bytes, and a longer text in pieces of that size that overlap.
 
+For the disk's sake, tables above PASS_BYTES are worked on in passes, each of which takes its share of the keys, and later
+its share of the documents, and leaves a compressed table in the shared folder; its shuffle files go before the next one.
+
 Defined cases: null texts are empty; texts below 50 bytes keep all; rows without an id are kept and cover nothing; rows
 repeated under one id do not cover each other, whether their texts are equal or not, and each text of an id loses its
 own bytes; an empty table gives an empty result; other columns pass ``clean``, whatever their names. The spans of one
@@ -25,6 +31,7 @@ text are held together, unmerged: at most 8 bytes for each 16 of the text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import RANGE_BYTES, even_labels, fresh_name, input_bytes, map_batches, small_batches, tidy_shuffles
+from tracelens.llm.common import RANGE_BYTES, SharedTables, even_labels, fresh_name, input_bytes, map_batches, small_batches, tidy_shuffles
 from tracelens.llm.jaccard import _mix
 from tracelens.llm.suffix_sort import _ranges, suffix_arrays
 from tracelens.session import ensure_checkpoint_dir
@@ -44,6 +51,8 @@ FLUSH, BLOCK, IN_STEP = 400_000, 32_768, 1 << 20
 GATHER, MANY = 8 << 20, 1 << 31
 #: Bytes of text whose anchors are found at once (places have 24 bits), and bytes of input for each slice of the keys.
 PORTION, SLICE_BYTES = 1 << 19, 1 << 20
+#: Bytes of input (as the planner sizes it) from which on there are PASSES passes.
+PASS_BYTES, PASSES = 64 << 20, 2
 
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E6C63D0876A9A99 | 1)
@@ -75,10 +84,11 @@ class Anchors:
         return out
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(doc, lo, span, key, ctx, at) for each anchor: its document's index, its context's start, strings less one, place."""
+        """(doc, lo, span, key, ctx, at, sides) for each anchor: its document's index, its context's start, strings less one,
+        place, and a hash of the bytes on either side of it (a byte each, 0 where no string has that side's)."""
         found = [self._find(*portion) for portion in self._portions(texts)]
         if not found:
-            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),)
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64), np.empty(0, np.uint16))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _portions(self, texts: list[bytes]):
@@ -122,8 +132,17 @@ class Anchors:
         with np.errstate(over="ignore"):
             ctx = _mix((total[hi] - total[lo]) * self.inverse[lo])
             ctx = _mix(ctx + (hi - lo).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (a - lo).astype(np.uint64))
+        # strings that start up to `far` bytes before the anchor have all up to the right end, the others all from the left end
+        far = (length - core) // 2
+        left, right = np.maximum(lo, a - far), np.minimum(hi, a + length - far)
+        sides = np.where(lo <= a - far, self._byte(total, left, a + core), 0) | np.where(lo + span >= a - far, self._byte(total, a, right), 0) << 8
         back = np.array(places, np.int64)[piece] - start[piece]
-        return np.array(docs, np.int64)[piece], lo + back, span, h[a], ctx, a + back
+        return np.array(docs, np.int64)[piece], lo + back, span, h[a], ctx, a + back, sides.astype(np.uint16)
+
+    def _byte(self, total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """1 to 255, by the bytes lo..hi."""
+        with np.errstate(over="ignore"):
+            return (_mix((total[hi] - total[lo]) * self.inverse[lo]) % np.uint64(255)).astype(np.int64) + 1
 
 
 _FINDER = Anchors()
@@ -188,11 +207,12 @@ def _runs(batches, column: str = "slice"):
         yield held
 
 
-_PACKED = "bucket int, slice long, keys binary, ctx binary, docs binary, nos binary, lo binary, span binary, base long, wide boolean"
+_PACKED = "bucket int, slice long, keys binary, ctx binary, sides binary, docs binary, nos binary, lo binary, span binary, base long, wide boolean"
 
 
-def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
-    """Anchors by slice; rows without keys hold contexts already settled within the task (docs, lo, span)."""
+def packed_anchors(docs: DataFrame, slices: Slices, part: int = 0, parts: int = 1) -> DataFrame:
+    """Anchors by slice; rows without keys hold contexts already settled within the task (docs, lo, span). Of ``parts``
+    shares of the keys, by their upper halves, this is one."""
     small_batches(docs.sparkSession)
 
     def steps(x, cuts, full):
@@ -206,9 +226,9 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
         count = 0
 
         def flush():
-            doc, no, lo, span, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, no, lo, span, key, ctx, sides = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, ctx, key))
-            doc, no, lo, span, key, ctx = doc[order], no[order], lo[order], span[order], key[order], ctx[order]
+            doc, no, lo, span, key, ctx, sides = (x[order] for x in (doc, no, lo, span, key, ctx, sides))
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
             least = np.repeat(doc[first], np.diff(np.r_[first, len(doc)]))
             settled = doc > least
@@ -228,6 +248,7 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
                         *where,
                         _bytes((key[rows] >> np.uint64(32)).astype(np.uint32), cuts, full) if sign > 0 else empty,
                         _bytes(ctx[rows], cuts, full) if sign > 0 else empty,
+                        _bytes(sides[rows], cuts, full) if sign > 0 else empty,
                         _planed(steps(doc[rows] - base, cuts, full).astype(wide), cuts, full),
                         _bytes(no[rows], cuts, full) if no[rows].any() else empty,
                         _planed(lo[rows], cuts, full),
@@ -235,15 +256,18 @@ def packed_anchors(docs: DataFrame, slices: Slices) -> DataFrame:
                         pa.array([base] * len(full), pa.int64()),
                         pa.array([wide is np.int64] * len(full), pa.bool_()),
                     ],
-                    names=["bucket", "slice", "keys", "ctx", "docs", "nos", "lo", "span", "base", "wide"],
+                    names=["bucket", "slice", "keys", "ctx", "sides", "docs", "nos", "lo", "span", "base", "wide"],
                 )
 
         for batch in batches:
             ids, nos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            doc, lo, span, key, ctx, _ = finder.find(batch.column(2).cast(pa.binary()).to_pylist())
+            doc, lo, span, key, ctx, _, sides = finder.find(batch.column(2).cast(pa.binary()).to_pylist())
+            if parts > 1:
+                mine = (key >> np.uint64(32)) % np.uint64(parts) == np.uint64(part)
+                doc, lo, span, key, ctx, sides = (x[mine] for x in (doc, lo, span, key, ctx, sides))
             for at in range(0, len(doc), FLUSH):
                 to = slice(at, at + FLUSH)
-                held.append((ids[doc[to]], nos[doc[to]].astype(np.int32), lo[to].astype(np.uint32), span[to].astype(np.uint8), key[to], ctx[to]))
+                held.append((ids[doc[to]], nos[doc[to]].astype(np.int32), lo[to].astype(np.uint32), span[to].astype(np.uint8), key[to], ctx[to], sides[to]))
                 count += len(doc[to])
                 if count > FLUSH:
                     yield from flush()
@@ -258,6 +282,19 @@ def _numbers(data: bytes, count: int) -> np.ndarray:
     return np.frombuffer(data, np.int32).astype(np.int64) if data else np.zeros(count, np.int64)
 
 
+def _several(key: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same key and side; keys are numbers from 0 up, and side 0 is none."""
+    if not len(key):
+        return np.zeros(0, bool)
+    x = key.astype(np.int64) << 8 | side
+    order = np.argsort(x, kind="stable")
+    x, d = x[order], doc[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    out = np.empty(len(x), bool)
+    out[order] = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.r_[first, len(x)]))
+    return out & (side > 0)
+
+
 def settle(packed: DataFrame, slices: Slices) -> DataFrame:
     """(doc_id, no, lo, hi, key): bytes lo..hi are covered where key is null; else they are to be compared under the key."""
 
@@ -278,11 +315,11 @@ def settle(packed: DataFrame, slices: Slices) -> DataFrame:
                 if not row["keys"]:
                     yield from out(*unpack(row), None)
                 else:
-                    held.append((*unpack(row), slices.key(np.frombuffer(row["keys"], np.uint32), row["slice"]), np.frombuffer(row["ctx"], np.uint64)))
+                    held.append((*unpack(row), slices.key(np.frombuffer(row["keys"], np.uint32), row["slice"]), np.frombuffer(row["ctx"], np.uint64), np.frombuffer(row["sides"], np.uint16)))
             if held:
                 yield from meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def meet(doc, no, lo, span, key, ctx):
+    def meet(doc, no, lo, span, key, ctx, sides):
         # keys of one document end here
         order = np.argsort(key, kind="stable")
         k, d = key[order], doc[order]
@@ -292,7 +329,7 @@ def settle(packed: DataFrame, slices: Slices) -> DataFrame:
         if not len(keep):
             return
         keep = keep[np.lexsort((doc[keep], ctx[keep], key[keep]))]
-        doc, no, lo, span, key, ctx = doc[keep], no[keep], lo[keep], span[keep], key[keep], ctx[keep]
+        doc, no, lo, span, key, ctx, sides = (x[keep] for x in (doc, no, lo, span, key, ctx, sides))
         new_key = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new_key | np.r_[True, ctx[1:] != ctx[:-1]])
         least = np.repeat(doc[first], np.diff(np.r_[first, len(doc)]))
@@ -301,7 +338,8 @@ def settle(packed: DataFrame, slices: Slices) -> DataFrame:
         # several contexts under a key: fetch those of each context's smallest document
         key_no = np.cumsum(new_key) - 1
         many = np.bincount(key_no[first])[key_no] > 1
-        ask = many & ~covered
+        ask = np.flatnonzero(many & ~covered)
+        ask = ask[_several(key_no[ask], sides[ask] & 255, doc[ask]) | _several(key_no[ask], sides[ask] >> 8, doc[ask])]
         yield from out(doc[ask], no[ask], lo[ask], span[ask], key[ask])
 
     return packed.mapInArrow(run, "doc_id long, no int, lo int, hi int, key long")
@@ -511,22 +549,48 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, no, spans) from (doc_id, no, text): the packed spans lo << 32 | hi that smaller documents cover, if any."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    slices = Slices(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs))
+    tables = SharedTables(spark)
+    size = input_bytes(docs)
+    parts = PASSES if (size or 0) > PASS_BYTES else 1
+    slices = Slices(int(spark.conf.get("spark.sql.shuffle.partitions")), size and -(-size // parts))
     small_batches(spark)
-    packed_span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
     with tidy_shuffles(spark):
-        plan = (
-            settle(slices.deal(packed_anchors(docs, slices)), slices)
-            .groupBy("doc_id", "no")
-            .agg(F.collect_list(F.when(F.col("key").isNull(), packed_span)).alias("done"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "lo", "hi"))).alias("ask"))
-            .checkpoint()
-        )
-        asked = plan.where(F.size("ask") > 0).select("doc_id", "no", "ask")
-        more = compare(slices.deal(contexts(docs.where("doc_id is not null and text is not null"), asked, slices))).groupBy("doc_id", "no").agg(F.collect_list("at").alias("more")).checkpoint()
-    whole = F.transform("more", lambda at: F.shiftleft(at.cast("long"), 32).bitwiseOR(at.cast("long") + F.lit(LENGTH)))
-    both = plan.select("doc_id", "no", "done").join(more, ["doc_id", "no"], "full")
-    none = F.array().cast("array<bigint>")
-    return both.select("doc_id", "no", F.concat(F.coalesce("done", none), F.coalesce(whole, none)).alias("spans")).where(F.size("spans") > 0)
+        settled = _all([tables.keep(settle(slices.deal(packed_anchors(docs, slices, k, parts)), slices), f"settled{k}") for k in range(parts)])
+        asked = settled.where("key is not null")
+        texts = docs.where("doc_id is not null and text is not null")
+        fetched = []
+        for k in range(parts):
+            mine = F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k
+            ask = asked.where(mine).groupBy("doc_id", "no").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("ask"))
+            fetched.append(tables.keep(contexts(texts.where(mine), ask, slices), f"fetched{k}"))
+        more = tables.keep(compare(slices.deal(_all(fetched))), "more")
+        for k in range(parts):
+            tables.drop(f"fetched{k}")
+        covered = settled.where("key is null").select("doc_id", "no", "lo", "hi").unionByName(more.select("doc_id", "no", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
+        span = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+        out = _joined(covered.groupBy("doc_id", "no").agg(F.collect_list(span).alias("spans"))).checkpoint()
+    tables.drop()
+    return out
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans that touch or overlap become one."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column(2):
+                x = np.sort(x.values.to_numpy())
+                lo, hi = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
+                first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
+                out.append(lo[first] << 32 | hi[np.r_[first[1:], len(x)] - 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "no", "spans"])
+
+    return spans.mapInArrow(run, "doc_id long, no int, spans array<long>")
 
 
 def _spans(packed: list[int] | None) -> list[tuple[int, int]]:
