@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -112,6 +113,21 @@ def test_toxicity_leaves_no_word_unlearned(monkeypatch):
     assert (m.probability(m.decide(k, ["moron", "scumbag", "insufferablenitwit"])) >= 0.7).all()
 
 
+def test_toxicity_is_trained_outside_the_driver(spark, monkeypatch):
+    rows = toxic_rows(1, 120)
+    sample = docs(spark, [(i, t) for i, (t, _) in enumerate(rows)]).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic long")
+    a, b = toxicity.fit(sample, labels), toxicity.train(rows)
+    k, words = toxicity.Kernel(), ["moron", "scumbag", "worthless", "otherwise", rnd(3, 1)]
+    assert np.allclose(a.probability(a.decide(k, words)), b.probability(b.decide(k, words)), rtol=0, atol=1e-9)
+    for none in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1"), labels.where("false")):
+        assert toxicity.fit(sample, none).v is None
+    assert toxicity.fit(docs(spark, []), labels).v is None
+    monkeypatch.setattr(toxicity, "train", lambda rows: toxicity.Model(np.array([os.getpid(), len(rows)], float), 1.0, 2.0, 3.0))
+    m = toxicity.fit(sample, labels)
+    assert m.v[0] != os.getpid() and m.v[1] == len(rows) and (m.bias, m.slope, m.shift) == (1.0, 2.0, 3.0)
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("letters,bad", [("абвгдежзиклмнопрстуфхцчшщъыьэюя", ["дурак", "подлец", "ослик"]), ("αβγδεζηθικλμνξοπρστυφχψω", ["βλακας", "ηλιθιος", "χαζος"])])
 def test_toxicity_in_other_scripts(letters, bad):

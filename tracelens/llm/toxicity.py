@@ -24,12 +24,14 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import crc32_mod, filter_texts, map_batches, table
+from tracelens.llm.common import crc32_mod, filter_texts, map_batches, small_batches, table
 
 DECAY, PIECE, STEP = 0.7, 16, 8
 THRESHOLD = 0.7
@@ -277,7 +279,8 @@ def train(rows: list[tuple[str | None, int]], rounds: int = 3) -> Model:
         have = set(negatives)
         while True:
             w, bias = _svm(np.vstack([xp, xn]), np.r_[np.ones(len(xp)), -np.ones(len(xn))], len(clean))
-            model = Model((dense @ (root @ w)).astype(np.float64), bias)
+            out = root @ w
+            model = Model(np.concatenate([dense[at : at + 4096] @ out for at in range(0, len(dense), 4096)]), bias)  # not all of dense at once in 64 bits
             z = dict(zip(words, model.values(kernel, words).tolist(), strict=True))
             left = sorted((x for x in clean if z[x] > -1 and x not in have), key=lambda x: (-z[x], x))
             if not left or k < rounds:
@@ -324,7 +327,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
-    return train([(r.text, r.label) for r in labelled_sample(docs, labels, **bounds).toLocalIterator()])
+    """The machine of the labelled sample, trained in a task: the driver holds neither texts nor landmarks, only weights."""
+    sample = labelled_sample(docs, labels, **bounds).repartition(1)
+    small_batches(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = train([row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        one = [None if m.v is None else m.v.astype(np.float64).tobytes()], [float(m.bias)], [float(m.slope)], [float(m.shift)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, [pa.binary()] + 3 * [pa.float64()], strict=True)], ["v", "bias", "slope", "shift"])
+
+    for r in sample.mapInArrow(run, "v binary, bias double, slope double, shift double").collect():
+        return Model(None if r.v is None else np.frombuffer(r.v), r.bias, r.slope, r.shift)
+    return Model(None)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
